@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, pieces, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_simhash": simhash.op4_simhash,
+    "op8_packing": packing.op8_packing,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
