@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pieces, simhash
+from . import exact_dedup, packing, pieces, pii, simhash, token_files, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_simhash": simhash.op4_simhash,
+    "op6_pii": pii.op6_pii,
+    "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,
+    "op9_token_files": token_files.op9_token_files,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op7_topk": topk.ORACLE,
 }
