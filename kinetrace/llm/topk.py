@@ -1,20 +1,19 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-Vectors are cut into blocks of dimensions; the score of a row is the sum of its partial inner products over the blocks,
-and each block at each site (a packed batch of rows) is a local list. Partial scores are lifted by the bound
-|q_b| * max |x_b| of their block, so that they are not negative.
-
-1. Each site gives, for each query and block, the k best entries of its list. The entries are summed by row; the k-th
-   largest of these sums is a lower bound of the k-th best score.
-2. The bound goes to all sites with the queries. A row that is below bound / blocks in every list can't reach the bound,
-   so the sites collect the rest; what a row's unread lists can add is at most that threshold each, which prunes more.
+Vectors are cut into blocks of dimensions; the score of a row is the sum of its partial inner products over the blocks.
+Each block at each site (a packed batch of rows) is a local score list.
+
+1. Each site names the k best entries of each list for each query and gives the k best sums of the rows so named. The
+   k-th largest over all sites is a safe cutoff: the k-th best score is no smaller.
+2. The cutoff goes to all sites with the queries. A row that reaches it has, in some list, at least cutoff / blocks; the
+   sites collect the rows that do. A list in which a row stays below adds less than that, which prunes further.
 3. The remaining rows are scored exactly, and the k best of each site are merged.
 
 Queries and sites meet in blocks: query blocks of bounded size are dealt to every group of sites. Nothing is collected;
-no side is broadcast. Arithmetic is in doubles on integers, exact below 2**53. Ties go to the smaller id, then to
-repeated rows in any order (they are equal). Null vectors, vectors with null or non-finite components and vectors of
-another length than the first block's are no candidates and no queries; a row without an id neither. A query row is left
-out of its own result (by id). Empty tables give empty results.
+no side is broadcast by Spark. Arithmetic is in doubles on integers, exact below 2**53. Ties go to the smaller id.
+Null vectors, vectors with null or non-finite components and rows without an id take no part; vectors of different
+lengths do not meet. A query row is left out of its own result (by id); repeated rows are rows of their own, and a query
+id that comes repeatedly shares one result. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import batch, stored
 
@@ -66,85 +66,81 @@ def _cuts(dims: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores in each row, ties to smaller ids; ids ascend."""
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of k largest scores in each row."""
     if scores.shape[1] <= k:
         return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    low = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-    out = np.empty((len(scores), k), dtype=np.int64)
-    for r in range(len(scores)):
-        c = np.flatnonzero(scores[r] >= low[r])
-        out[r] = c[np.argsort(-scores[r, c], kind="stable")[:k]]
-    return out
+    return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """found (query_id, id, score) with rank, the k best of each query; a partial limit runs before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 4) -> DataFrame:
     """(query_id, rank, id, score) of the k rows (id, x) with the largest inner product for each query (id, x)."""
-    count = rows.count()
-    groups = max(1, -(-count // (SITE * GROUP)))
-    sites = stored(packed(rows, SITE, groups), "sites")
-    # A bound that holds for every list: the largest norm of each block, over all rows.
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
-    most = rows.agg(F.max(norm(F.col("x")))).first()[0] or 0.0
+    groups = max(1, -(-rows.count() // (SITE * GROUP)))
+    sites = stored(packed(rows, SITE, groups), "sites").withColumnRenamed("part", "g")
+    queries = queries.groupBy("id").agg(F.first("x").alias("x"))
     found = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    sums = pa.schema([("query_id", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
+    columns = "ids, data, dims, q_ids, q_data".split(", ")
 
     def meet(asked: DataFrame) -> DataFrame:
         """Every site with every query block."""
-        dealt = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
-        return sites.withColumnRenamed("part", "g").join(dealt.withColumn("g", F.col("part").cast("long")).drop("part").hint("merge"), ["g", "dims"])
+        dealt = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        return sites.join(dealt.hint("merge"), ["g", "dims"]).select(*columns)
 
-    def first(batches):
-        for rb in batches:
-            for r in rb.to_pylist():
-                (ids, x), (q_ids, q) = _open(r["ids"], r["data"], r["dims"]), _open(r["q_ids"], r["q_data"], r["dims"])
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
-                for b, cut in enumerate(_cuts(r["dims"], blocks)):
-                    s = q[:, cut] @ x[:, cut].T
-                    s[q_ids[:, None] == ids[None, :]] = -np.inf
-                    best = _best(s, ids, k)
-                    v = np.take_along_axis(s, best, axis=1)
-                    keep = np.isfinite(v)
-                    yield batch(sums, pa.array(np.repeat(q_ids, keep.sum(axis=1))), pa.array(np.full(int(keep.sum()), b, np.int32)), pa.array(ids[best][keep]), pa.array(v[keep]))
-
-    asked = stored(packed(queries, ASKED, 1), "asked")
-    columns = "g, dims, ids, data, q_ids, q_data".split(", ")
-    lists = meet(asked).select(*columns).mapInArrow(first, "query_id long, block int, id long, score double")
-    norms = queries.select(F.col("id").alias("query_id"), (norm(F.col("x")) * most).alias("lift")).groupBy("query_id").agg(F.max("lift").alias("lift"))
-    # A row that some list didn't name counts there with the least it can have, 0 after the lift.
-    partial = lists.groupBy("query_id", "block", "id").agg(F.max("score").alias("score")).join(norms, "query_id").groupBy("query_id", "id").agg(F.sum(F.col("score") + F.col("lift")).alias("sum"))
-    worst = partial.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("sum"), asc=False), k, 1).alias("kth"))
-    bounds = queries.join(worst.select("query_id", F.try_element_at("kth", F.lit(1)).alias("bound")), F.col("id") == F.col("query_id"), "left").join(norms.withColumnRenamed("query_id", "own"), F.col("id") == F.col("own"), "left")
-    packed_bounds = stored(packed(bounds.select("id", F.concat("x", F.array(F.coalesce("bound", F.lit(0.0)), F.coalesce("lift", F.lit(0.0)))).alias("x")), ASKED, 1).withColumn("dims", F.col("dims") - 2), "bounds")
-
-    def second(batches):
+    def pairs(batches, extra):
         for rb in batches:
             for r in rb.to_pylist():
-                dims = r["dims"]
-                ids, x = _open(r["ids"], r["data"], dims)
-                q_ids, q = _open(r["q_ids"], r["q_data"], dims + 2)
-                q, bound, lift = q[:, :dims], q[:, dims], q[:, dims + 1]
+                ids, x = _open(r["ids"], r["data"], r["dims"])
+                q_ids, q = _open(r["q_ids"], r["q_data"], r["dims"] + extra)
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
-                cuts = _cuts(dims, blocks)
-                threshold = bound / len(cuts)
-                least, reached = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)), dtype=bool)
-                for cut in cuts:
-                    s = q[:, cut] @ x[:, cut].T + lift[:, None]
-                    over = s >= threshold[:, None] * (1 - 1e-12)
-                    reached |= over
-                    least += np.where(over, s, threshold[:, None])  # a list not read here adds less than the threshold
-                reached &= (least >= bound[:, None] * (1 - 1e-12)) & (q_ids[:, None] != ids[None, :])
-                for i in range(len(q)):
-                    c = np.flatnonzero(reached[i])
-                    exact = x[c] @ q[i]
-                    best = np.argsort(-exact, kind="stable")[:k]
-                    yield batch(found, pa.array(np.full(len(best), q_ids[i])), pa.array(ids[c[best]]), pa.array(exact[best]))
-
-    near = meet(packed_bounds).select(*columns).mapInArrow(second, "query_id long, id long, score double")
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).cast("long").alias("score"))
+                yield q_ids, q, ids, x, q_ids[:, None] == ids[None, :], _cuts(r["dims"], blocks)
+
+    def name(batches):
+        for q_ids, q, ids, x, own, cuts in pairs(batches, 0):
+            named, total = np.zeros(own.shape, dtype=bool), np.zeros(own.shape)
+            for cut in cuts:
+                s = q[:, cut] @ x[:, cut].T
+                total += s
+                s[own] = -np.inf
+                np.put_along_axis(named, _best(s, k), True, axis=1)
+            total[~named | own] = -np.inf
+            best = _best(total, k)
+            score = np.take_along_axis(total, best, axis=1)
+            keep = np.isfinite(score)
+            yield batch(found, pa.array(np.repeat(q_ids, keep.sum(axis=1))), pa.array(ids[best][keep]), pa.array(score[keep]))
+
+    def resolve(batches):
+        for q_ids, q, ids, x, own, cuts in pairs(batches, 1):
+            cutoff = q[:, -1]
+            share = (cutoff / len(cuts))[:, None]
+            reached, most = np.zeros(own.shape, dtype=bool), np.zeros(own.shape)
+            for cut in cuts:
+                s = q[:, :-1][:, cut] @ x[:, cut].T
+                over = s >= share
+                reached |= over
+                most += np.where(over, s, share)
+            reached &= (most >= (cutoff - 1e-6 * np.maximum(1, np.abs(cutoff)))[:, None]) & ~own
+            reached |= ~np.isfinite(cutoff)[:, None] & ~own
+            for i in range(len(q)):
+                c = np.flatnonzero(reached[i])
+                exact = x[c] @ q[i, :-1]
+                best = np.argsort(-exact, kind="stable")[:k]
+                yield batch(found, pa.array(np.full(len(best), q_ids[i])), pa.array(ids[c[best]]), pa.array(exact[best]))
+
+    kind = "query_id long, id long, score double"
+    named = _ranked(meet(stored(packed(queries, ASKED, 1), "asked")).mapInArrow(name, kind), k)
+    cutoffs = named.where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
+    # With fewer than k rows named in all there is no cutoff: every row is resolved.
+    bounded = queries.join(cutoffs, F.col("id") == F.col("query_id"), "left").select("id", F.concat("x", F.array(F.coalesce("cutoff", F.lit(float("-inf"))))).alias("x"))
+    asked = stored(packed(bounded, ASKED, 1).withColumn("dims", F.col("dims") - 1), "cutoffs")
+    best = _ranked(meet(asked).mapInArrow(resolve, kind), k)
+    return best.select("query_id", F.col("rank").cast("int"), "id", F.col("score").cast("long"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
