@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pieces, pii, simhash, token_files, topk
+from . import exact_dedup, packing, pieces, pii, quality, simhash, token_files, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,
     "op9_token_files": token_files.op9_token_files,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
