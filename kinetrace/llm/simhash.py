@@ -218,6 +218,20 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """docs, all columns, with one document of each component: the one that names it."""
+    found = near_dedup(docs, words, radius)
+    # Rows without a doc_id have no name to stay by; they stay. Rows that repeat the name of their component are one.
+    gone = stored(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__kt_id")).distinct(), "near-copies")
+    rest = docs.join(small_or_shuffled(gone), docs["doc_id"].cast("long") == gone["__kt_id"], "left_anti")
+    again = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kt_id")).count().where("count > 1").select("__kt_id"), "repeated-ids")
+    if again.isEmpty():
+        return rest
+    side = small_or_shuffled(again)
+    once = rest.join(side, rest["doc_id"].cast("long") == again["__kt_id"], "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(side, rest["doc_id"].cast("long") == again["__kt_id"], "left_anti").unionByName(once)
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
