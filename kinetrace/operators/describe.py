@@ -36,7 +36,7 @@ def describe(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"), F.skewness(value).alias("skew_biased"), F.kurtosis(value).alias("excess_biased"),
         unbiased_skew(value, n).alias("skew"), unbiased_excess(value, n).alias("excess"),
     )
-    at = {f"p{str(p)[2:].ljust(2, '0')}": F.col("q")[i] for i, p in enumerate(points)}
+    at = {f"p{str(p)[2:].ljust(2, "0")}": F.col("q")[i] for i, p in enumerate(points)}
     out = base.withColumns(at).drop("q").withColumnRenamed("p50", "median")
     return out.withColumns({
         "range": F.col("max") - F.col("min"),
