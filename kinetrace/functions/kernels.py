@@ -1,0 +1,391 @@
+"""Numerical kernels without a relational form, on arrays of one group: models, tests, signal descriptors.
+
+All randomness is seeded; ties go to the first row.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+from .tails import digamma, normal_cdf, normal_ppf, normal_sf
+
+
+# --- One-class model -----------------------------------------------------------------------------------------------
+class OneClass:
+    """One-class support vector machine with an RBF kernel, by pairwise coordinate steps on the dual."""
+
+    def __init__(self, nu: float = 0.2, gamma: float | str = "scale"):
+        self.nu, self.gamma = nu, gamma
+
+    def fit(self, x: np.ndarray, steps: int = 20_000, tolerance: float = 1e-4) -> OneClass:
+        n = len(x)
+        self.g = 1 / (x.shape[1] * max(x.var(), 1e-12)) if self.gamma == "scale" else float(self.gamma)
+        k, top = self._kernel(x, x), 1 / (self.nu * n)
+        alpha = np.zeros(n)
+        full = int(self.nu * n)
+        alpha[:full] = top
+        if full < n:
+            alpha[full] = 1 - full * top
+        grad = k @ alpha
+        for _ in range(steps):
+            up, down = np.where(alpha < top - 1e-12, grad, np.inf), np.where(alpha > 1e-12, grad, -np.inf)
+            i, j = int(np.argmin(up)), int(np.argmax(down))
+            if grad[j] - grad[i] < tolerance:
+                break
+            step = min((grad[j] - grad[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), top - alpha[i], alpha[j])
+            alpha[i] += step
+            alpha[j] -= step
+            grad += step * (k[:, i] - k[:, j])
+        free = (alpha > 1e-9) & (alpha < top - 1e-9)
+        self.rho = float(grad[free].mean() if free.any() else (np.min(grad[alpha < top - 1e-9], initial=np.inf) + np.max(grad[alpha > 1e-9], initial=-np.inf)) / 2)
+        own = alpha > 1e-9
+        self.support, self.alpha = x[own], alpha[own]
+        return self
+
+    def _kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.exp(-self.g * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+
+    def decision(self, x: np.ndarray) -> np.ndarray:
+        """Positive inside; about a share nu of the training rows is negative."""
+        return self._kernel(x, self.support) @ self.alpha - self.rho
+
+
+def scaled(train: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    m, s = train.mean(0), train.std(0)
+    s = np.where(s > 1e-9, s, 1.0)
+    return [(a - m) / s for a in (train, *others)]
+
+
+def array_auc(score: np.ndarray, label: np.ndarray) -> float:
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(score))
+    ranks[order] = np.arange(1, len(score) + 1)
+    values, inverse, count = np.unique(score, return_inverse=True, return_counts=True)
+    ranks = np.bincount(inverse, weights=ranks)[inverse] / count[inverse]
+    p, q = label.sum(), len(label) - label.sum()
+    return float((ranks[label == 1].sum() - p * (p + 1) / 2) / (p * q)) if p and q else 0.5
+
+
+def permutation_importance(model: OneClass, x: np.ndarray, label: np.ndarray, repeats: int = 10, seed: int = 42) -> np.ndarray:
+    rng, base = np.random.default_rng(seed), array_auc(model.decision(x), label)
+    out = np.zeros(x.shape[1])
+    for f in range(x.shape[1]):
+        for _ in range(repeats):
+            y = x.copy()
+            y[:, f] = rng.permutation(y[:, f])
+            out[f] += (base - array_auc(model.decision(y), label)) / repeats
+    return out
+
+
+def sampled_shapley(score, x: np.ndarray, background: np.ndarray, samples: int = 20, seed: int = 42) -> np.ndarray:
+    """Mean absolute Shapley values by sampled orders of features: an approximation."""
+    rng, d = np.random.default_rng(seed), x.shape[1]
+    total = np.zeros((len(x), d))
+    for _ in range(samples):
+        order, at = rng.permutation(d), background[rng.integers(len(background), size=len(x))].copy()
+        before = score(at)
+        for f in order:
+            at[:, f] = x[:, f]
+            after = score(at)
+            total[:, f] += (after - before) / samples
+            before = after
+    return np.abs(total).mean(0)
+
+
+# --- Outliers and shape ----------------------------------------------------------------------------------------------
+def local_outlier_factor(x: np.ndarray, k: int = 10) -> np.ndarray:
+    """LOF of one-dimensional values: neighbours are searched among the k on either side in sorted order."""
+    n = len(x)
+    k = min(k, n - 1)
+    if k < 1:
+        return np.ones(n)
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    offsets = np.r_[-np.arange(1, k + 1), np.arange(1, k + 1)]
+    near = np.arange(n)[:, None] + offsets
+    d = np.where((near >= 0) & (near < n), np.abs(s[np.clip(near, 0, n - 1)] - s[:, None]), np.inf)
+    pick = np.argsort(d, axis=1, kind="stable")[:, :k]
+    near, d = np.take_along_axis(near, pick, 1), np.take_along_axis(d, pick, 1)
+    reach = np.maximum(d, d[near, -1])
+    density = 1 / (reach.mean(1) + 1e-10)
+    out = np.empty(n)
+    out[order] = density[near].mean(1) / density
+    return out
+
+
+def isolation_scores(x: np.ndarray, trees: int = 50, sample: int = 256, seed: int = 42) -> np.ndarray:
+    """Isolation-forest decision of one-dimensional values: 0.5 less the anomaly score."""
+    rng, n = np.random.default_rng(seed), len(x)
+    size = min(sample, n)
+    limit = math.ceil(math.log2(max(size, 2)))
+    path = lambda m: 0.0 if m < 2 else 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
+    depth = np.zeros(n)
+
+    def walk(values: np.ndarray, rows: np.ndarray, level: int):
+        if level >= limit or len(values) < 2 or values.min() == values.max() or not len(rows):
+            depth[rows] += level + path(len(values))
+            return
+        cut = rng.uniform(values.min(), values.max())
+        walk(values[values < cut], rows[x[rows] < cut], level + 1)
+        walk(values[values >= cut], rows[x[rows] >= cut], level + 1)
+
+    for _ in range(trees):
+        walk(x[rng.choice(n, size, replace=False)], np.arange(n), 0)
+    return 0.5 - 2 ** (-depth / trees / max(path(size), 1e-9))
+
+
+def bootstrap_median(x: np.ndarray, times: int = 1000, seed: int = 42) -> tuple[float, float]:
+    rng = np.random.default_rng(seed)
+    m = np.median(x[rng.integers(len(x), size=(times, len(x)))], axis=1)
+    return float(np.quantile(m, 0.025)), float(np.quantile(m, 0.975))
+
+
+def density_modes(x: np.ndarray, points: int = 200, prominence: float = 0.05) -> int:
+    """Peaks of a Gaussian density (Scott's bandwidth) that stand out by a share of its range."""
+    if len(x) < 2 or x.std() < 1e-12:
+        return 1
+    h, grid = x.std(ddof=1) * len(x) ** -0.2, np.linspace(x.min(), x.max(), points)
+    y = np.exp(-0.5 * ((grid[:, None] - x[None]) / h) ** 2).sum(1)
+    need, count = prominence * (y.max() - y.min()), 0
+    for i in range(points):
+        if (i == 0 or y[i] > y[i - 1]) and (i == points - 1 or y[i] >= y[i + 1]):
+            left = right = y[i]
+            j = i - 1
+            while j >= 0 and y[j] <= y[i]:
+                left, j = min(left, y[j]), j - 1
+            j = i + 1
+            while j < points and y[j] <= y[i]:
+                right, j = min(right, y[j]), j + 1
+            count += y[i] - max(left, right) >= need and 0 < i < points - 1
+    return max(1, count)
+
+
+# --- Tests -----------------------------------------------------------------------------------------------------------
+def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
+    """W and p by Royston's approximation (3 <= n <= 5000)."""
+    x = np.sort(x)
+    n = len(x)
+    if n < 3 or x[-1] - x[0] < 1e-12:
+        return math.nan, math.nan
+    m = normal_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    c, u = m / math.sqrt(m @ m), 1 / math.sqrt(n)
+    a = c.copy()
+    if n == 3:
+        a[:] = [-math.sqrt(0.5), 0, math.sqrt(0.5)]
+    else:
+        poly = lambda coef: sum(v * u**i for i, v in enumerate(coef, 1))
+        last = c[-1] + poly((0.221157, -0.147981, -2.071190, 4.434685, -2.706056))
+        if n > 5:
+            second = c[-2] + poly((0.042981, -0.293762, -1.752461, 5.682633, -3.582633))
+            phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a = m / math.sqrt(phi)
+            a[[0, 1, -2, -1]] = -last, -second, second, last
+        else:
+            phi = (m @ m - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+            a = m / math.sqrt(phi)
+            a[[0, -1]] = -last, last
+    w = min(1.0, (a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y, ln = math.log(max(1 - w, 1e-300)), math.log(n)
+    if n <= 11:
+        g = -2.273 + 0.459 * n
+        if y >= g:
+            return w, 0.0
+        y = -math.log(g - y)
+        mu, sigma = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3, math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
+    else:
+        mu, sigma = -1.5861 - 0.31082 * ln - 0.083751 * ln**2 + 0.0038915 * ln**3, math.exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln**2)
+    return w, float(normal_sf((y - mu) / sigma))
+
+
+def standardised_cdf(x: np.ndarray) -> np.ndarray:
+    s = np.sort(x)
+    return normal_cdf((s - s.mean()) / max(s.std(ddof=1), 1e-12))
+
+
+def kolmogorov_smirnov(x: np.ndarray) -> tuple[float, float]:
+    """D of the standardised values against the normal, p by the asymptotic series with Stephens' correction."""
+    f, n = standardised_cdf(x), len(x)
+    d = float(max((np.arange(1, n + 1) / n - f).max(), (f - np.arange(n) / n).max()))
+    t = d * (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n))
+    return d, float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)))))
+
+
+def lilliefors_p(d: float, n: int) -> float:
+    """p of D with estimated parameters (Dallal and Wilkinson), valid below 0.1; larger values are capped there."""
+    if n > 100:
+        d, n = d * (n / 100) ** 0.49, 100
+    return float(min(0.1, math.exp(-7.01256 * d**2 * (n + 2.78019) + 2.99587 * d * math.sqrt(n + 2.78019) - 0.122119 + 0.974598 / math.sqrt(n) + 1.67997 / n)))
+
+
+def anderson_darling(x: np.ndarray) -> tuple[float, bool]:
+    """A2 and whether normality is rejected at 5 %."""
+    f, n = np.clip(standardised_cdf(x), 1e-15, 1 - 1e-15), len(x)
+    i = np.arange(1, n + 1)
+    a2 = float(-n - ((2 * i - 1) * (np.log(f) + np.log(1 - f[::-1]))).mean())
+    return a2, bool(a2 > 0.787 / (1 + 4 / n - 25 / n**2))
+
+
+def cramer_von_mises(x: np.ndarray) -> tuple[float, float]:
+    """W2 against the normal with estimated parameters; p by Stephens' piecewise fit."""
+    f, n = standardised_cdf(x), len(x)
+    w = float(1 / (12 * n) + ((f - (2 * np.arange(1, n + 1) - 1) / (2 * n)) ** 2).sum())
+    z = w * (1 + 0.5 / n)
+    if z < 0.0275:
+        p = 1 - math.exp(-13.953 + 775.5 * z - 12542.61 * z * z)
+    elif z < 0.051:
+        p = 1 - math.exp(-5.903 + 179.546 * z - 1515.29 * z * z)
+    elif z < 0.092:
+        p = math.exp(0.886 - 31.62 * z + 10.897 * z * z)
+    else:
+        p = math.exp(1.111 - 34.242 * min(z, 1.1) + 12.832 * min(z, 1.1) ** 2)
+    return w, float(min(1, max(0, p)))
+
+
+def change_points(x: np.ndarray, penalty: float | None = None, least: int = 2) -> list[int]:
+    """Optimal partitioning with squared error and pruning; returns segment ends before the last."""
+    n = len(x)
+    pen = math.log(n) * x.var() if penalty is None else penalty
+    s, q = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
+    cost = np.full(n + 1, np.inf)
+    cost[0], back, open_ = -pen, np.zeros(n + 1, dtype=int), np.array([0])
+    for t in range(least, n + 1):
+        own = open_[t - open_ >= least]
+        c = cost[own] + q[t] - q[own] - (s[t] - s[own]) ** 2 / (t - own) + pen
+        i = int(np.argmin(c))
+        cost[t], back[t] = c[i], own[i]
+        late = open_[t - open_ < least]
+        open_ = np.r_[own[c - pen <= cost[t]], late, t - least + 1] if t - least + 1 > 0 else np.r_[own[c - pen <= cost[t]], late]
+        open_ = np.unique(open_)
+    out, t = [], n
+    while t > 0 and back[t] > 0:
+        t = int(back[t])
+        out.append(t)
+    return out[::-1]
+
+
+# --- Relevance -------------------------------------------------------------------------------------------------------
+def knn_information(x: np.ndarray, label: np.ndarray, k: int = 3) -> float:
+    """Mutual information of a continuous value and a class by nearest neighbours (Ross 2014)."""
+    total, n, keep = 0.0, len(x), []
+    for c in np.unique(label):
+        own = np.flatnonzero(label == c)
+        if len(own) > 1:
+            keep.append((own, min(k, len(own) - 1)))
+    if not keep:
+        return 0.0
+    s = np.sort(x)
+    for own, m in keep:
+        d = np.abs(x[own][:, None] - x[own][None])
+        radius = np.nextafter(np.partition(d, m, axis=1)[:, m], 0)
+        inside = np.searchsorted(s, x[own] + radius, side="right") - np.searchsorted(s, x[own] - radius, side="left")
+        total += (digamma(np.array([float(m)]))[0] - digamma(np.array([float(len(own))]))[0]) * len(own) - digamma(np.maximum(inside, 1).astype(float)).sum()
+    used = sum(len(o) for o, _ in keep)
+    return float(max(0.0, digamma(np.array([float(n)]))[0] + total / used))
+
+
+def relief(x: np.ndarray, label: np.ndarray, k: int = 10) -> np.ndarray:
+    """ReliefF weights for two classes, range-scaled distances."""
+    span = np.where(np.ptp(x, axis=0) > 0, np.ptp(x, axis=0), 1.0)
+    z = (x - x.min(0)) / span
+    d = np.abs(z[:, None] - z[None]).sum(2)
+    np.fill_diagonal(d, np.inf)
+    out = np.zeros(x.shape[1])
+    for i in range(len(x)):
+        for same, sign in ((True, -1), (False, 1)):
+            own = np.flatnonzero((label == label[i]) == same)
+            own = own[own != i]
+            near = own[np.argsort(d[i, own], kind="stable")[:k]]
+            if len(near):
+                out += sign * np.abs(z[near] - z[i]).mean(0) / len(x)
+    return out
+
+
+def laplacian_scores(x: np.ndarray, k: int = 5, scale: bool = True) -> np.ndarray:
+    """Laplacian score of each column on the symmetrised nearest-neighbour graph; scale: variant A (z-scores, plain
+    centring, 1 / (1 + L)), else variant B (raw, degree-weighted centring, 1 - L)."""
+    z = scaled(x)[0] if scale else x
+    d = ((z[:, None] - z[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    w = np.zeros((len(x), len(x)))
+    np.put_along_axis(w, near, 1.0, axis=1)
+    w = np.maximum(w, w.T)
+    deg = w.sum(1)
+    out = np.zeros(x.shape[1])
+    for f in range(x.shape[1]):
+        v = z[:, f] - (z[:, f].mean() if scale else (z[:, f] @ deg) / deg.sum())
+        bottom = (v * v) @ deg
+        value = (bottom - v @ w @ v) / bottom if bottom > 1e-12 else 0.0
+        out[f] = (1 / (1 + value) if scale else 1 - value) if bottom > 1e-12 else 0.0
+    return out
+
+
+# --- Signals ---------------------------------------------------------------------------------------------------------
+def tapers(n: int, count: int = 3) -> np.ndarray:
+    """Sine tapers: orthonormal, low leakage."""
+    i = np.arange(1, n + 1)
+    return np.array([math.sqrt(2 / (n + 1)) * np.sin(math.pi * (k + 1) * i / (n + 1)) for k in range(count)])
+
+
+def spectrum_descriptors(x: np.ndarray, fs: float, count: int = 3) -> dict[str, float]:
+    """Seven descriptors of the multitaper spectrum: peak, energy, entropy, two bands, centroid, median frequency."""
+    names = ("peak", "energy", "entropy", "low", "high", "centroid", "medoid")
+    if len(x) < 32:
+        return dict.fromkeys(names, 0.0)
+    p = (np.abs(np.fft.rfft(tapers(len(x), count) * (x - x.mean()), axis=1)) ** 2).mean(0)
+    f = np.fft.rfftfreq(len(x), 1 / fs)
+    total = p.sum()
+    if total <= 1e-12:
+        return dict.fromkeys(names, 0.0)
+    q = p / total
+    band = lambda a, b: float(p[(f >= a) & (f < b)].sum())
+    return dict(zip(names, (float(f[p.argmax()]), float(total), float(-(q[q > 0] * np.log2(q[q > 0])).sum() / math.log2(len(q))), band(0.5, 2), band(2, 5), float(f @ q), float(f[np.searchsorted(np.cumsum(q), 0.5)])), strict=True))
+
+
+def cepstrum(x: np.ndarray, fs: float, filters: int = 12, coefficients: int = 6) -> np.ndarray:
+    """Mel-spaced cepstral coefficients of a Hamming-windowed signal."""
+    p, f = np.abs(np.fft.rfft(x * np.hamming(len(x)))) ** 2, np.fft.rfftfreq(len(x), 1 / fs)
+    mel, hz = (lambda v: 2595 * np.log10(1 + v / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
+    edges = hz(np.linspace(mel(0.5), mel(max(fs / 2 - 0.5, 1.0)), filters + 2))
+    bank = np.array([np.clip(np.minimum((f - a) / max(b - a, 1e-9), (c - f) / max(c - b, 1e-9)), 0, None) for a, b, c in zip(edges, edges[1:], edges[2:], strict=False)])
+    e = np.log(bank @ p + 1e-10)
+    k = np.arange(coefficients)[:, None]
+    return (np.cos(math.pi * k * (np.arange(filters) + 0.5) / filters) * e).sum(1) * math.sqrt(2 / filters)
+
+
+def low_pass(x: np.ndarray, fs: float, cutoff: float, order: int = 3) -> np.ndarray:
+    """Zero-phase Butterworth response, applied in the frequency domain to the mirrored signal."""
+    n = len(x)
+    y = np.r_[x[::-1], x, x[::-1]]
+    f = np.fft.rfftfreq(len(y), 1 / fs)
+    return np.fft.irfft(np.fft.rfft(y) / (1 + (f / cutoff) ** (2 * order)), len(y))[n : 2 * n]
+
+
+#: Low-pass decomposition filter of the fourth Daubechies wavelet (fixed values).
+DB4 = np.array([-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114, -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523])
+
+
+def wavelet_level(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Approximation and detail of one level, signal mirrored at its ends."""
+    y = np.r_[x[:7][::-1], x, x[-7:][::-1]] if len(x) >= 7 else np.pad(x, 7, mode="edge")
+    high = DB4[::-1] * (-1.0) ** np.arange(1, 9)
+    return np.convolve(y, DB4, mode="valid")[1::2], np.convolve(y, high, mode="valid")[1::2]
+
+
+def minimum_jerk(t: np.ndarray, x: np.ndarray, y: np.ndarray, points: int = 100) -> dict[str, float]:
+    """Deviation of a path from the minimum-jerk course between its ends, and its jerk against the least possible."""
+    span = t[-1] - t[0]
+    d = math.hypot(x[-1] - x[0], y[-1] - y[0])
+    if len(t) < 3 or span <= 0 or d <= 0:
+        return {"deviation": 0.0, "jerk_ratio": 0.0}
+    tau = np.linspace(0, 1, points)
+    s = 10 * tau**3 - 15 * tau**4 + 6 * tau**5
+    px, py = (np.interp(t[0] + tau * span, t, v) for v in (x, y))
+    off = np.hypot(px - (x[0] + s * (x[-1] - x[0])), py - (y[0] + s * (y[-1] - y[0]))).mean() / d
+    h = span / (points - 1)
+    jerk = sum(np.diff(v, 3) ** 2 for v in (px, py)).sum() / h**5
+    return {"deviation": float(off), "jerk_ratio": float(jerk / (720 * d * d / span**5 / 2))}
