@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 
 from kinetrace.llm import pii, quality, tool_calls, topk
 
-from .conftest import SF
+SF = "/root/testdata/sf0.001"
+
 
 TURNS = "conv_id long, turn long, role string, text string"
 ADD = {"add": {"type": "object", "properties": {"a": {"type": ["number", "object"]}, "b": {"type": ["number", "object"], "maximum": 9}}, "required": ["a", "b"], "additionalProperties": False}}
@@ -185,7 +186,7 @@ def test_pipeline_equals_its_stages_done_plainly(spark):
             norm = before.text.str.replace(r"[\x20\x09-\x0D]+", " ", regex=True)
             assert set(after.doc_id) == set(before.groupby(norm).doc_id.min())
         if name == "near dedup":
-            from .test_dedup import brute_components, plain_fingerprint
+            from test_dedup import brute_components, plain_fingerprint
 
             fps = [plain_fingerprint(t) for t in before.text]
             assert set(after.doc_id) == set(brute_components(fps, before.doc_id.tolist()))
