@@ -41,18 +41,20 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.uint64), np.zeros(len(lengths), np.int64)
     needs = np.searchsorted(_LIMITS, values, side="right").astype(np.int8) + 1  # smallest selector; 15 asks for the escape
     ends = np.cumsum(lengths)
-    end = np.repeat(ends, lengths).astype(np.int32)
-    at = np.arange(n, dtype=np.int32)
+    end = np.repeat(ends, lengths)
     best = np.where(needs > 14, 0, 14).astype(np.int8)
+    fit = np.arange(n)
     for s in range(13, 0, -1):
-        wide = needs > s
-        nearest = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1]
-        best[(nearest - at >= COUNTS[s]) | (nearest >= end) & ~wide] = s
-    best[needs > 14] = 0
-    choice, stop, starts, i = best.tolist(), end.tolist(), [], 0
+        fit = fit[needs[fit] <= s]
+        if not len(fit):
+            break
+        last = np.flatnonzero(np.r_[np.diff(fit) != 1, True])
+        reach = np.repeat(fit[last] + 1, np.diff(np.r_[-1, last]))  # where the run of values that fit ends
+        best[fit[(reach - fit >= COUNTS[s]) | (reach >= end[fit])]] = s
+    after, starts, i = np.minimum(np.arange(n) + np.array(COUNTS)[best], end).tolist(), [], 0
     while i < n:
         starts.append(i)
-        i = min(i + COUNTS[choice[i]], stop[i])
+        i = after[i]
     starts = np.array(starts)
     sel = best[starts]
     sizes = np.diff(np.r_[starts, n])

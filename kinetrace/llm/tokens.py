@@ -1,21 +1,53 @@
-"""Token ids of whole texts by the tokenizers library, with ids of words already seen kept in a bounded table.
+"""Token ids of whole texts by the tokenizers library, with ids of pieces already seen kept in bounded tables.
 
-Both vocabularies split texts before merging, and no piece of the split runs on from a visible character into a space
-or newline. So a text is cut there, and ids of the parts, joined, are the ids of the text. Texts with other white
-space, where the split looks further, go to the library whole. Strings of special tokens count as ordinary text.
+Texts of Latin-1 characters are normalised and split here, as both vocabularies do it (there composition changes nothing
+and lower case needs no context), and the library's merge model gives the ids of each new piece. In other texts no
+piece runs on from a visible character into a space or newline, so they are cut there and new parts go through the whole
+library; those with other white space, where the split looks further, go to it uncut. Strings of special tokens count as
+ordinary text.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Parts that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Parts, and pieces of parts, that a task remembers before it starts afresh.
+REMEMBERED = 300_000
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-_OTHER_WHITE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]").search
+#: White space beyond Latin-1's space and newline; characters that some library counts as such are included.
+_OTHER_WHITE = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t\n\x0b\x0c\r \x85\xa0"
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_SPLIT = {
+    "byte": re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall,
+    "word": re.compile(rf"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_S}{_L}{_N}]+").findall,
+}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Table(dict):
+    """Ids by key; what is missing is made, and remembered if short."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = ids
+        return ids
 
 
 class Ids:
@@ -24,36 +56,30 @@ class Ids:
     def __init__(self, path: str, kind: str, end: int = 1):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.known = kind, {}
+        self.model, self.kind, self.letters = self.tokenizer.model, kind, _byte_letters()
+        self.split, self.parts, self.pieces = _SPLIT[kind], _Table(self._whole), _Table(self._piece)
         self.tail = np.array([end], dtype="<u4").tobytes()
 
-    def _parts(self, text: str) -> list[str]:
-        if _OTHER_WHITE(text):
-            return [text]
-        if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        return _PARTS(text)
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids for each text."""
-        parts = [self._parts(t) for t in texts]
-        known = self.known
-        new = {p for ps in parts for p in ps if p not in known}
-        own = {}
-        if new:
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                own[p] = np.array(e.ids, dtype="<u4").tobytes()
-            if len(known) + len(own) > REMEMBERED:
-                # Parts of these texts stay at hand until they are encoded; the table starts afresh with the short ones.
-                own |= {p: known[p] for ps in parts for p in ps if p in known}
-                known.clear()
-            if len(own) <= REMEMBERED:
-                known.update((p, e) for p, e in own.items() if len(p) <= 64)
-        if own:
-            get = own.get
-            return [np.frombuffer(b"".join([known[p] if p in known else get(p) for p in ps]) + self.tail, dtype="<u4") for ps in parts]
-        return [np.frombuffer(b"".join([known[p] for p in ps]) + self.tail, dtype="<u4") for ps in parts]
+        out = []
+        for t in texts:
+            try:
+                t.encode("latin-1")
+                ids = b"".join(map(self.pieces.__getitem__, self.split(t.lower() if self.kind == "word" else t)))
+            except UnicodeEncodeError:
+                if any(c in t for c in _OTHER_WHITE):
+                    ids = self._whole(t)
+                else:
+                    ids = b"".join(map(self.parts.__getitem__, t.replace("\n", " ").split(" ") if self.kind == "word" else _PARTS(t)))
+            out.append(np.frombuffer(ids + self.tail, dtype="<u4"))
+        return out
 
 
 _open: dict[tuple, Ids] = {}
