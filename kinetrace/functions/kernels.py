@@ -277,11 +277,10 @@ def knn_information(x: np.ndarray, label: np.ndarray, k: int = 3) -> float:
             keep.append((own, min(k, len(own) - 1)))
     if not keep:
         return 0.0
-    s = np.sort(x)
     for own, m in keep:
-        d = np.abs(x[own][:, None] - x[own][None])
-        radius = np.nextafter(np.partition(d, m, axis=1)[:, m], 0)
-        inside = np.searchsorted(s, x[own] + radius, side="right") - np.searchsorted(s, x[own] - radius, side="left")
+        d = np.abs(x[own][:, None] - x[None])
+        radius = np.nextafter(np.partition(d[:, own], m, axis=1)[:, m], 0)
+        inside = (d <= radius[:, None]).sum(1)
         total += (digamma(np.array([float(m)]))[0] - digamma(np.array([float(len(own))]))[0]) * len(own) - digamma(np.maximum(inside, 1).astype(float)).sum()
     used = sum(len(o) for o, _ in keep)
     return float(max(0.0, digamma(np.array([float(n)]))[0] + total / used))

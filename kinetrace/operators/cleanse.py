@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import EPS
+from .describe import correlation
 
 CELL = ["user_id", "feature"]
 
@@ -72,7 +73,7 @@ def feature_correlations(long: DataFrame, keys: list[str], per_user: bool, ranks
     pair = rows.select(*keys, F.explode("x").alias("a"), "x").select(*keys, "a", F.explode(F.filter("x", lambda b: b["feature"] > F.col("a.feature"))).alias("b"))
     by = (["user_id"] if per_user else []) + ["f1", "f2"]
     return pair.select(*keys, F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2"), F.col("a.value").alias("v1"), F.col("b.value").alias("v2")).groupBy(*by).agg(
-        F.when((F.stddev_pop("v1") > 0) & (F.stddev_pop("v2") > 0), F.corr("v1", "v2")).alias("corr"), F.count(F.lit(1)).alias("n"))
+        correlation(F.col("v1"), F.col("v2")).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def correlated_drops(correlations: DataFrame, variances: DataFrame, limit: float = 0.95) -> DataFrame:

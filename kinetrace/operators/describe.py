@@ -18,6 +18,14 @@ def ratio(a: Column, b: Column, floor: float = TINY, default: float | None = Non
     return F.when(F.abs(b) > floor, a / b).otherwise(F.lit(default).cast("double"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL where either is constant (`corr` would divide by zero)."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(x, y) / (sx * sy))
+
+
 def unbiased_skew(v: str, n: Column) -> Column:
     return F.when((n > 2) & (F.stddev_pop(v) > TINY), F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2))
 

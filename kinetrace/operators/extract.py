@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels as K
+from .describe import correlation
 from .sequence import as_of, within
 
 KEY = ["user_id", "session_id"]
@@ -82,7 +83,7 @@ def touch_sensors(s: DataFrame, reach: float = 100.0, least: int = 5) -> DataFra
     t = _events(s, "touch_events").select(*KEY, F.col("touch_down_ts").alias("down"))
     a = _events(s, "sensor_events").where("accelerometer is not null").select(*KEY, "timestamp", "accelerometer.*")
     p = within(t, a, KEY, "down", "timestamp", reach, reach)
-    corr = lambda a, b: F.when((F.stddev_pop(a) > 1e-9) & (F.stddev_pop(b) > 1e-9), F.corr(a, b)).otherwise(0.0).alias(f"near_{a}{b}")
+    corr = lambda a, b: F.coalesce(correlation(F.col(a), F.col(b)), F.lit(0.0)).alias(f"near_{a}{b}")
     out = p.groupBy(*KEY).agg(F.count(F.lit(1)).alias("near_count"), *(x for c in ("x", "y", "z") for x in _spread(c, f"near_{c}")), corr("x", "y"), corr("x", "z"), corr("y", "z"))
     return _zeros(s, out.where(F.col("near_count") >= least))
 

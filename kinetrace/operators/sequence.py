@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import EPS, MEAN_FLOOR, TINY
+from .describe import correlation
 
 
 def _w(by: list[str], order: str):
@@ -37,8 +38,7 @@ def autocorrelation(df: DataFrame, by: list[str], order: str, value: str, lags=(
     """Pearson correlation of the series with itself shifted; NULL where either part is constant."""
     w = _w(by, order)
     d = df.where(F.col(value).isNotNull()).withColumns({f"l{k}": F.lead(value, k).over(w) for k in lags})
-    pair = lambda k: F.when(F.col(f"l{k}").isNotNull(), F.col(value))
-    out = [F.when((F.stddev_pop(pair(k)) > EPS) & (F.stddev_pop(f"l{k}") > EPS), F.corr(pair(k), F.col(f"l{k}"))).alias(f"autocorr_{k}") for k in lags]
+    out = [correlation(F.col(value), F.col(f"l{k}")).alias(f"autocorr_{k}") for k in lags]
     return d.groupBy(*by).agg(*out)
 
 
@@ -126,7 +126,7 @@ def average_rank(by: list[str], value: str) -> Column:
 def spearman_drift(df: DataFrame, by: list[str], order: str, value: str, least: float = 0.3) -> DataFrame:
     """Spearman correlation of value with its order; n and t statistic for the p-value."""
     d = compacted(df, by, order, value).withColumn("r", average_rank(by, value))
-    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("r", F.col("x").cast("double")).alias("rho"))
+    out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("r"), F.col("x")).alias("rho"))
     return out.withColumn("t", F.when((F.col("n") > 2) & (F.abs("rho") < 1), F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") ** 2)))).withColumn("strong", (F.col("n") > 10) & (F.abs("rho") > least))
 
 

@@ -10,6 +10,7 @@ from ..operators import evaluate as E
 from ..operators import grouped as G
 from ..operators import relevance as R
 from ..operators import sequence as S
+from ..operators.describe import correlation
 from ..registry import query
 
 NAMES = ["quantity", "price", "discount", "tax"]
@@ -61,7 +62,7 @@ def late_session_rejections(spark, sf_dir):
     """Train on the first 80 % of sessions; rejection rate of the rest and its correlation with their order."""
     s = C.early_late(sessions(spark, sf_dir).where("genuine = 1"), ["user_id"], "pos").withColumn("early", F.col("part") == "early")
     d = G.one_class_scores(s, NAMES, "early").where("not early")
-    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") < -0.3).cast("double")).alias("frr"), F.when(F.stddev_pop("score") > 1e-9, F.corr("score", F.col("pos").cast("double"))).alias("trend")).withColumn("high_frr", F.col("frr") > 0.15)
+    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") < -0.3).cast("double")).alias("frr"), correlation(F.col("score"), F.col("pos")).alias("trend")).withColumn("high_frr", F.col("frr") > 0.15)
 
 
 @query("K7 D14")

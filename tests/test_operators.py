@@ -121,7 +121,7 @@ def test_documents_and_session_features(spark, tmp_path):
     d = readers.session_documents(spark, str(tmp_path / "u.json"))
     assert [r.session_id for r in d.orderBy("pos").collect()] == ["old", "new"]
     f = {r.session_id: r for r in X.session_features(d).collect()}
-    assert f["new"].nav_count == 2 and f["new"].touch_count == 6 and f["new"].acce_count == 120 and f["new"].reaction_count == 5 and f["new"].near_count > 0
+    assert f["new"].nav_count == 2 and f["new"].touch_count == 6 and f["new"].acce_count == 120 and f["new"].reaction_count == 6 and f["new"].near_count > 0
     assert f["old"].touch_count == 0 and f["old"].acce_count == 0
 
 
