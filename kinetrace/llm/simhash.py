@@ -220,7 +220,11 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """docs, all columns, with one document of each component: the one that names it."""
-    found = near_dedup(docs, words, radius)
+    return one_of_each(docs, near_dedup(docs, words, radius))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without those that found (doc_id, component_id) names after another document."""
     # Rows without a doc_id have no name to stay by; they stay. Rows that repeat the name of their component are one.
     gone = stored(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__kt_id")).distinct(), "near-copies")
     rest = docs.join(small_or_shuffled(gone), docs["doc_id"].cast("long") == gone["__kt_id"], "left_anti")

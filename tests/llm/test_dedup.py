@@ -171,3 +171,72 @@ def test_planted_passage_is_removed_and_clean_text_is_not(spark):
 def test_lines_awkward(awkward):
     out = L.line_dedup(awkward)
     assert out.count() == awkward.count() and L.line_dedup(awkward.limit(0)).count() == 0
+
+
+def _brute_components(texts):
+    """doc_id to the smallest doc_id that links of similarity >= 0.8 reach; shingles kept as tuples of words."""
+    from collections import Counter, defaultdict
+
+    sets, holders = {}, defaultdict(list)
+    for i, t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[i]:
+            holders[s].append(i)
+    of, pairs = {i: i for i in sets}, 0
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, own in sets.items():
+        for j, n in Counter(j for s in own for j in holders[s] if j > i).items():
+            if n / (len(own) + len(sets[j]) - n) >= 0.8:
+                pairs += 1
+                a, b = sorted((root(i), root(j)))
+                of[b] = a
+    return {i: root(i) for i in of}, pairs
+
+
+@pytest.mark.parametrize("part,named", [(2048, 4), (8, 1)])
+def test_near_copies_against_brute_force(spark, part, named):
+    """Edited copies of 0.8 to 0.95, further from each other than 3 bits; small parts and few names lose none."""
+    from kinetrace.llm import near_copies as N
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.integers(5000)}" for _ in range(160)]
+        for _ in range(8):
+            copy = list(words)
+            for at in rng.choice(160, rng.integers(0, 6), replace=False):
+                copy[at] = f"x{rng.integers(9999)}"
+            rows.append((len(rows), " ".join(copy)))
+    want, pairs = _brute_components(rows)
+    assert pairs > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_copies(docs, part=part, named=named).collect()}
+    assert got == want
+    assert {r.doc_id for r in N.keep_one(docs).collect()} == set(want.values())
+
+
+def test_pipeline_stage_takes_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(120)]
+    near, far = list(words), list(words)
+    near[60] = near[20] = "other"
+    far[::12] = ["other"] * 10
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.dissimilar_documents(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_near_copies_awkward(awkward):
+    from kinetrace.llm import near_copies as N
+
+    kept = N.keep_one(awkward)
+    rows = kept.collect()
+    assert kept.columns == awkward.columns
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 6, 8]
+    assert N.keep_one(awkward.limit(0)).count() == 0
