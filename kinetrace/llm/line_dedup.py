@@ -1,13 +1,13 @@
 """Substring dedup by hashes of lines.
 
-A text is cut into lines and, within lines, after sentence ends. From each cut the shortest run of units with at least
-`words` words is normalised (lower case, single spaces) and digested with 128 bits. Digests are grouped over the whole
+A text is cut into lines and, within lines, after sentence ends. Each unit, and from each
+cut the shortest run of units with at least `words` words, is normalised (lower case, single spaces) and digested with 128 bits. Digests are grouped over the whole
 table; the occurrence of smallest rank (doc_id, then offset) stays and the units of all others are removed, so a passage
 that other texts also hold is found wherever it starts within a line, without comparing documents. Offsets of what is
 removed are those of the original text, in code points, ends exclusive.
 
 A digest's group is never gathered: it is counted with partial aggregation and joined back by a join that Spark splits
-if a digest is very common. Null texts count as empty; empty texts and texts of fewer words have no units; a null
+if a digest is very common. Null texts count as empty; texts without words have no units; a null
 doc_id ranks after all others. Rows that repeat doc_id and text count as one document (both keep the same units); rows
 that share a doc_id with other texts rank equal and keep their units. Repeats inside one text are removed too. An empty
 table gives no rows.
@@ -31,7 +31,7 @@ _CUT = re.compile(r"(?<=[.!?])[ \t]+|[ \t]*\n\s*")
 
 
 def units(text: str, words: int = WORDS):
-    """(digest, start, end) of the run that begins at each unit."""
+    """(digest, start, end) of each unit of fewer words, and of the run that begins at each unit."""
     cuts, at = [], 0
     for m in _CUT.finditer(text):
         if m.start() > at:
@@ -41,16 +41,22 @@ def units(text: str, words: int = WORDS):
         cuts.append((at, len(text)))
     own = [text[a:b].lower().split() for a, b in cuts]
     n = len(cuts)
+
+    def digest(run):
+        return blake2b(" ".join(run).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
     for i in range(n):
         j, run = i + 1, own[i]
         if len(run) < words:
+            if run:
+                yield digest(run), *cuts[i]
             run = list(run)
             while j < n and len(run) < words:
                 run += own[j]
                 j += 1
             if len(run) < words:
-                break
-        yield blake2b(" ".join(run).encode("utf-8", "surrogatepass"), digest_size=16).digest(), cuts[i][0], cuts[j - 1][1]
+                continue
+        yield digest(run), cuts[i][0], cuts[j - 1][1]
 
 
 def _hashed(docs: DataFrame) -> DataFrame:

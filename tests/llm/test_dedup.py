@@ -240,3 +240,10 @@ def test_near_copies_awkward(awkward):
     assert kept.columns == awkward.columns
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 6, 8]
     assert N.keep_one(awkward.limit(0)).count() == 0
+
+
+def test_short_lines_before_different_text_are_units(spark):
+    one, two = "All rights reserved.\nthe first text goes on with many words of its own", "other words stand here before the line of rights\nAll rights reserved.\nand something else that no text repeats follows it"
+    rows = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame([(1, one), (2, two), (3, "All rights reserved.")], "doc_id long, text string")).collect()}
+    assert rows[1].text == one and rows[3].text == ""
+    assert "rights reserved" not in rows[2].text and rows[2].text.endswith("and something else that no text repeats follows it")
