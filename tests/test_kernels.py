@@ -114,3 +114,21 @@ def test_shapley_of_a_linear_score():
     x, b = np.eye(3), np.zeros((1, 3))
     s = K.sampled_shapley(lambda v: v @ np.array([3.0, 2.0, 1.0]), x, b, 5)
     assert np.allclose(s, [1, 2 / 3, 1 / 3])
+
+
+def test_importance_and_bootstrap_take_all_rows(spark):
+    import pandas as pd
+
+    from kinetrace.functions import kernels as K
+    from kinetrace.operators import grouped as G
+
+    rng = np.random.default_rng(7)
+    df = pd.DataFrame({"user_id": 1, "genuine": np.r_[np.ones(150, int), np.zeros(350, int)], "a": rng.normal(size=500), "b": rng.normal(size=500)}).sort_values(["a", "b", "genuine"])
+    x, y = df[["a", "b"]].to_numpy(), df.genuine.to_numpy()
+    fit, every = K.scaled(x[y == 1], x)
+    want = K.permutation_importance(K.OneClass(0.2).fit(fit), every, y, 50)
+    got = {r.feature: r.permutation for r in G.importance(spark.createDataFrame(df), ["a", "b"]).collect()}
+    assert np.allclose([got["a"], got["b"]], want)
+    v = rng.exponential(size=40)
+    r = G.distribution_kernels(spark.createDataFrame(pd.DataFrame({"k": 1, "pos": range(40), "value": v})), ["k"]).first()
+    assert np.allclose((r.median_low, r.median_high), K.bootstrap_median(v, 1000))
