@@ -155,3 +155,25 @@ def test_stream_equals_table(spark, tmp_path):
     stream = session_summary(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), "10 minutes", "0 seconds")
     got = {tuple(r) for r in drained(spark, stream).collect()}
     assert got and got <= {tuple(r) for r in whole.collect()}
+
+
+def test_each_user_is_left_out_once_and_numbers_are_the_surveys(spark, monkeypatch):
+    from kinetrace.operators import learned as L
+    from kinetrace.plans import learned as P
+
+    wide, held = spark.createDataFrame([(u, 1.0) for u in range(40)], "user_id long, a double"), []
+
+    def ranker(rest, names):
+        held.extend(set(range(40)) - {r.user_id for r in rest.collect()})
+        return spark.createDataFrame([("a", 1.0)], "feature string, importance double")
+
+    assert L.leave_user_out(wide, ["a"], 10, ranker).first().importance == 1.0
+    assert sorted(held) == list(range(40))
+    seen = {}
+    for name in ("boosted_importance", "sparse_stability", "shadow_selection", "forest_importance"):
+        monkeypatch.setattr(L, name, lambda w, f, n, name=name: seen.__setitem__(name, n))
+    monkeypatch.setattr(L, "leave_user_out", lambda w, f, folds, r: r(w, f))
+    monkeypatch.setattr(P, "sessions", lambda spark, sf_dir: wide)
+    for q in (P.boosted_trees, P.sparse_stability, P.shadow_selection, P.forest_leave_user_out):
+        q(spark, "")
+    assert seen == {"boosted_importance": 200, "sparse_stability": 50, "shadow_selection": 100, "forest_importance": 300}
