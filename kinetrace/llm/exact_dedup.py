@@ -63,8 +63,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_batch: int = 1000) ->
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    # Stores are closed after each commit and preallocate no files: open ones hold megabytes of disk for each partition.
-    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    # Stores preallocate no files: those would hold megabytes of disk for each partition.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
