@@ -3,8 +3,8 @@
 Texts of Latin-1 characters are normalised and split here, as both vocabularies do it (there composition changes nothing
 and lower case needs no context), and the library's merge model gives the ids of each new piece. In other texts no
 piece runs on from a visible character into a space or newline, so they are cut there and new parts go through the whole
-library; those with other white space, where the split looks further, go to it uncut. Strings of special tokens count as
-ordinary text.
+library; those with other white space, where the split looks further, go to it uncut. So do texts that hold the string of
+an added token, which the library takes as that token.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class Ids:
 
     def __init__(self, path: str, kind: str, end: int = 1):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.kind, self.letters = self.tokenizer.model, kind, _byte_letters()
         self.split, self.parts, self.pieces = _SPLIT[kind], _Table(self._whole), _Table(self._piece)
         self.tail = np.array([end], dtype="<u4").tobytes()
@@ -70,6 +70,9 @@ class Ids:
         """One array of unsigned 32-bit ids for each text."""
         out = []
         for t in texts:
+            if any(a in t for a in self.added):
+                out.append(np.frombuffer(self._whole(t) + self.tail, dtype="<u4"))
+                continue
             try:
                 t.encode("latin-1")
                 ids = b"".join(map(self.pieces.__getitem__, self.split(t.lower() if self.kind == "word" else t)))

@@ -64,7 +64,6 @@ def test_piece_operators(spark, awkward):
 @pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_ids_equal_the_library(file, kind):
     t = Tokenizer.from_file(P.path(file))
-    t.encode_special_tokens = True
     rng = random.Random(2)
     parts = [" ", "  ", "\n", "\t", "the", "Ing", "é", "漢", "1", "23", "'s", "'LL", ".", "!?", "　", "\r", "😀", "Σ", "ΑΣ", "é", "<|endoftext|>", "_", "\x1c", "\x85", "\xa0", "½", "ª"]
     texts = ["", " "] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 15))) for _ in range(3000)] + ["".join(chr(rng.randint(9, 255)) for _ in range(20)) for _ in range(2000)]
@@ -74,7 +73,6 @@ def test_ids_equal_the_library(file, kind):
 
 def document_ids(rows, file):
     t = Tokenizer.from_file(P.path(file))
-    t.encode_special_tokens = True
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4")) for i, x in rows]
 
 
