@@ -1,12 +1,17 @@
-"""Near copies by Jaccard similarity of word shingles, for the pipeline: op4's fingerprints stay as its contract has them.
-
-1. A text is the set of its distinct shingles of five words; equal sets are one node. 144 minima of the set under as many
-   hash functions, in bands of six, key buckets: a pair of similarity 0.8 shares one with probability 0.9993.
-2. In each bucket every member asks for its most alike members of other components, by the share of equal minima; a pair
-   below LEAST, three standard errors under 0.8, is not looked at. A bucket above a size is cut into
-   parts, and each pair of parts is a task's, so that no task grows with a hot bucket and no pair is lost.
-3. Each pair asked for is confirmed by the two whole sets. Confirmed pairs give components; members that had more
-   candidates than they could name ask again for more, until none is left out.
+"""Near copies for the pipeline: SimHash candidates by sharded BK-trees (op4's), confirmed by five-word shingles.
+
+1. A text is the set of its distinct shingles of five words; equal sets are one node. Its fingerprint is the SimHash of
+   its distinct words: a changed word alters up to five shingles but one word, so texts whose shingles are 0.8 alike
+   differ in few bits. (Among 45 such pairs of sf0.1 7 bits or fewer: 44; by fingerprints of the shingles: 16.)
+2. Nodes whose fingerprints are within RADIUS share a shard (see simhash). In each shard's BK-tree every member asks for
+   its nearest members of other components. A shard above a size is cut into parts, and each pair of parts is a task's,
+   so that no task grows with a hot shard and no pair is lost.
+3. Each pair asked for is confirmed by the two whole sets: similarity of at least SIMILARITY. Confirmed pairs give
+   components; members that had more candidates than they could name ask again for more, until none is left out.
+
+Null and empty texts have the empty set and are alike. Rows with a null doc_id get a component but never name one unless
+all of it is null; repeated rows fall in one component. Extra columns of any name are kept by keep_one. An empty table
+gives an empty result. Texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -19,17 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batch, ids_and_texts, slices, small_or_shuffled, stored
-from .simhash import AT_ONCE, LOWER, WORDS, components, one_of_each
+from .simhash import AT_ONCE, LOWER, PART, WORDS, Forest, components, one_of_each, shards, sign_bits
 
-SIMILARITY, BANDS, ROWS, LEAST = 0.8, 24, 6, 0.7
-#: Members of one part of a bucket; candidates that a member names in the first round, and by how much they grow.
-PART, NAMED, GROWTH = 2048, 4, 8
-FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SIMILARITY, RADIUS = 0.8, 7
+#: Candidates that a member names in the first round, and by how much they grow.
+NAMED, GROWTH = 4, 8
 
 
-def shingles(text: str, words: int = 5) -> np.ndarray:
+def words_of(text: str) -> list[bytes]:
+    return WORDS.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
+
+
+def shingles(found: list[bytes], words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words none."""
-    found = WORDS.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
     if not found:
         return np.zeros(0, dtype=np.uint64)
     if len(found) <= words:
@@ -40,18 +47,17 @@ def shingles(text: str, words: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(s, 42) for s in each], dtype=np.uint64))
 
 
+def fingerprint(found: list[bytes]) -> int:
+    """SimHash of the distinct words, unsigned."""
+    digest = xxhash.xxh64_intdigest
+    return sign_bits(np.array([digest(w, 42) for w in set(found)], dtype="<u8")) if found else 0
+
+
 def node(found: np.ndarray) -> int:
     """The name of a set of shingles, signed."""
     return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), 42)], dtype=np.uint64).view(np.int64)[0])
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    low = np.full(len(FACTORS), (1 << 32) - 1, dtype=np.uint64)
-    for i in range(0, len(found), 1 << 12):
-        low = np.minimum(low, ((found[None, i : i + (1 << 12)] * FACTORS[:, None]) >> np.uint64(32)).min(axis=1))
-    return low.astype(np.uint16)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return 0.0
@@ -60,54 +66,53 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, node, minima, bands), one row for each row of docs."""
-    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("minima", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, node, fp), one row for each row of docs."""
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for rb in batches:
             for part in slices(rb):
-                names, lows, bands = [], [], []
-                for t in part.column(1).to_pylist():
-                    found = shingles(t, words)
-                    low = minima(found)
-                    names.append(node(found))
-                    lows.append(low.tobytes())
-                    bands.append(np.array([xxhash.xxh64_intdigest(low[i : i + ROWS].tobytes(), 42) for i in range(0, len(low), ROWS)], dtype=np.uint64).view(np.int64))
-                yield batch(out, part.column(0), names, lows, bands)
-
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, node long, minima binary, bands array<long>")
-
-
-def nearest(low: np.ndarray, label: np.ndarray, tree: np.ndarray, ask: np.ndarray, named: int):
-    """Yields (asking, named, whether more were left) for members of one bucket: the most alike of other components first."""
-    t = np.flatnonzero(tree)
-    for start in range(0, ask.size, 64):
-        q = np.arange(start, min(ask.size, start + 64))
-        q = q[ask[q]]
-        if not len(q) or not len(t):
+                found = [words_of(t) for t in part.column(1).to_pylist()]
+                fps = np.array([fingerprint(f) for f in found], dtype=np.uint64).view(np.int64)
+                yield batch(out, part.column(0), [node(shingles(f, words)) for f in found], pa.array(fps))
+
+    return ids_and_texts(docs).mapInArrow(run, "doc_id long, node long, fp long")
+
+
+def nearest(fp: np.ndarray, group: np.ndarray, label: np.ndarray, tree: np.ndarray, ask: np.ndarray, named: int, radius: int):
+    """Yields (asking, named, whether more were left): the nearest members of other components in each one's group."""
+    group = np.unique(group, return_inverse=True)[1]
+    t, q = np.flatnonzero(tree), np.flatnonzero(ask)
+    if not len(t) or not len(q):
+        return
+    has = np.unique(group[t])
+    q = q[np.isin(group[q], has)]
+    forest, at = Forest(fp[t], np.searchsorted(has, group[t]), radius), np.searchsorted(has, group)
+    for start in range(0, len(q), 512):
+        own = q[start : start + 512]
+        found = [(own[a], t[b]) for a, b in forest.within(fp[own], at[own])]
+        if not found:
             continue
-        same = np.zeros((len(q), len(t)), dtype=np.int16)
-        for k in range(low.shape[1]):
-            same += low[q, k][:, None] == low[t, k][None, :]
-        same[label[q][:, None] == label[t][None, :]] = 0
-        enough = same >= LEAST * low.shape[1]
-        many = enough.sum(axis=1)
-        for i in np.flatnonzero(many):
-            at = np.flatnonzero(enough[i])
-            if len(at) > named:
-                at = at[np.argsort(-same[i, at], kind="stable")[:named]]
-            yield np.full(len(at), q[i]), t[at], np.full(len(at), many[i] > named)
-
-
-def candidates(buckets: DataFrame, hot: DataFrame, named: int) -> DataFrame:
-    """(u, v, more), u < v. buckets: band, bits, node, minima, label; hot: band, bits, parts of the buckets that are cut."""
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        other = label[a] != label[b]
+        a, b = a[other], b[other]
+        order = np.lexsort((fp[b], np.bitwise_count(fp[a] ^ fp[b]), a))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[new, len(a)])
+        first = np.arange(len(a)) - np.repeat(new, size) < named
+        yield a[first], b[first], np.repeat(size > named, size)[first]
+
+
+def candidates(rows: DataFrame, hot: DataFrame, named: int, radius: int) -> DataFrame:
+    """(u, v, more): u asks for v. rows: choice, bits, node, fp, label, open; hot: choice, bits, parts of shards that are cut."""
     side = small_or_shuffled(hot)
-    every = ["band", "bits", "i", "j", "node", "minima", "label", "tree", "ask"]
-    cold = buckets.join(side, ["band", "bits"], "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("tree"), F.lit(True).alias("ask")).select(every)
-    warm = buckets.join(side, ["band", "bits"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = ["choice", "bits", "i", "j", "node", "fp", "label", "tree", "ask"]
+    cold = rows.join(side, ["choice", "bits"], "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("tree"), F.col("open").alias("ask")).select(every)
+    warm = rows.join(side, ["choice", "bits"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     warm = warm.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("ask")).select(every)
-    key = ["band", "bits", "i", "j"]
-    rows = cold.unionByName(warm).repartition(*key).sortWithinPartitions(*key)
+    key = ["choice", "bits", "i", "j"]
+    dealt = cold.unionByName(warm).repartition(*key).sortWithinPartitions(*key)
     out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
 
     def run(batches):
@@ -115,7 +120,7 @@ def candidates(buckets: DataFrame, hot: DataFrame, named: int) -> DataFrame:
         for rb in batches:
             frame = rb.to_pandas()
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if len(frame) < AT_ONCE // 4:
+            if len(frame) < AT_ONCE:
                 rest = frame
                 continue
             last = (frame[key] == frame[key].iloc[-1]).all(axis=1).to_numpy()
@@ -127,22 +132,17 @@ def candidates(buckets: DataFrame, hot: DataFrame, named: int) -> DataFrame:
     def pairs(frame):
         if not len(frame):
             return
-        first = np.flatnonzero((frame[key] != frame[key].shift()).any(axis=1).to_numpy())
-        name, label, tree, ask = (frame[c].to_numpy() for c in ("node", "label", "tree", "ask"))
-        low = np.frombuffer(b"".join(frame.minima), dtype=np.uint16).reshape(len(frame), -1)
-        u, v, more = [], [], []
-        for a, b in zip(first, [*first[1:], len(frame)], strict=True):
-            if b - a < 2 or (label[a:b] == label[a]).all():
-                continue
-            for x, y, z in nearest(low[a:b], label[a:b], tree[a:b], ask[a:b], named):
-                u.append(name[a:b][x])
-                v.append(name[a:b][y])
-                more.append(z)
-        if u:
-            u, v = np.concatenate(u), np.concatenate(v)
-            yield batch(out, pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.concatenate(more)))
+        group = (frame[key] != frame[key].shift()).any(axis=1).cumsum().to_numpy() - 1
+        name, label = frame.node.to_numpy(), frame.label.to_numpy()
+        # Only groups of several components have anything to ask for.
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))[group]
+        name, label, group = name[mixed], label[mixed], group[mixed]
+        fp, tree, ask = (frame[c].to_numpy()[mixed] for c in ("fp", "tree", "ask"))
+        for a, b, more in nearest(fp.view(np.uint64), group, label, tree, ask, named, radius):
+            yield batch(out, pa.array(name[a]), pa.array(name[b]), pa.array(more))
 
-    return rows.mapInArrow(run, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(run, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
@@ -154,7 +154,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
     def run(batches):
         for rb in batches:
             for part in slices(rb):
-                found = [shingles(t, words) for t in part.column(1).to_pylist()]
+                found = [shingles(words_of(t), words) for t in part.column(1).to_pylist()]
                 yield batch(out, [node(f) for f in found], [f.tobytes() for f in found])
 
     return plain.join(side, F.col("doc_id").eqNullSafe(F.col("__kt_id")), "left_semi").select("doc_id", "text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
@@ -175,32 +175,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, part: int = PART, named: int = NAMED) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS, part: int = PART, named: int = NAMED) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs."""
     prints = stored(signatures(docs, words), "signatures")
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("minima").alias("minima"), F.first("bands").alias("bands")), "nodes")
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "bits"))
-    shared = stored(keyed.groupBy("band", "bits").count().where("count > 1"), "buckets")
-    members = stored(keyed.join(small_or_shuffled(shared.select("band", "bits")), ["band", "bits"]), "members")
-    hot = stored(shared.where(F.col("count") > part).select("band", "bits", F.ceil(F.col("count") / part).cast("int").alias("parts")), "hot-buckets")
-    some = nodes.join(small_or_shuffled(stored(members.select("node").distinct(), "some")), "node", "left_semi")
-    buckets = stored(members.join(some.select("node", "minima"), "node"), "bucket-rows")
-    sets = stored(whole_sets(docs, some, words), "sets")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "nodes")
+    members = stored(shards(nodes.select("node", "fp"), nodes.count(), radius), "shards")
+    hot = members.groupBy("choice", "bits").count().where(F.col("count") > part)
+    hot = stored(hot.select("choice", "bits", F.ceil(F.col("count") / part).cast("int").alias("parts")), "hot-shards")
+    rows = members.select("*", F.col("node").alias("label"), F.lit(True).alias("open"))
     labels = links = tested = None
     while True:
-        if labels is None:
-            now = buckets.withColumn("label", F.col("node"))
-        else:
-            now = buckets.join(small_or_shuffled(labels), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        asked = stored(candidates(now, hot, named), "candidates")
-        new = asked if tested is None else asked.join(tested, ["u", "v"], "left_anti")
+        asked = stored(candidates(rows, hot, named, radius), "candidates")
+        new = asked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = stored(new if tested is None else new.join(tested, ["u", "v"], "left_anti"), "pairs")
+        some = new.select(F.col("u").alias("node")).unionByName(new.select(F.col("v").alias("node"))).distinct()
+        sets = stored(whole_sets(docs, nodes.join(small_or_shuffled(stored(some, "some")), "node", "left_semi"), words), "sets")
         found = stored(confirmed(new, sets), "similar")
         links = found if links is None else links.unionByName(found)
-        tested = asked.select("u", "v") if tested is None else tested.unionByName(new.select("u", "v"))
+        tested = new if tested is None else tested.unionByName(new)
         labels = components(links)
-        if asked.where("more").isEmpty():
+        more = stored(asked.where("more").select(F.col("u").alias("node"), F.lit(True).alias("open")).distinct(), "open")
+        if more.isEmpty():
             break
         named *= GROWTH
+        asking = small_or_shuffled(more)
+        wanted = stored(members.join(asking, "node").select("choice", "bits").distinct(), "wanted-shards")
+        rows = members.join(small_or_shuffled(wanted), ["choice", "bits"], "left_semi").join(small_or_shuffled(labels), "node", "left").join(asking, "node", "left")
+        rows = rows.select("choice", "bits", "node", "fp", F.coalesce("root", "node").alias("label"), F.coalesce("open", F.lit(False)).alias("open"))
     labelled = nodes.select("node", "least").join(small_or_shuffled(labels), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(labelled.select("node", "root").join(ids, "root").select("node", "component_id"), "components")

@@ -45,7 +45,11 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return sign_bits(np.array([digest(s, seed) for s in shingles], dtype="<u8"))
+
+
+def sign_bits(h: np.ndarray) -> int:
+    """The number whose bits are those set in over half of h."""
     bits = np.zeros(64, dtype=np.int64)
     for start in range(0, len(h), 1 << 16):
         part = h[start : start + (1 << 16)]
@@ -138,8 +142,8 @@ def _links(fp: np.ndarray, group: np.ndarray, tree: np.ndarray, ask: np.ndarray,
     return fp[child].view(np.int64), fp[parent[child]].view(np.int64)
 
 
-def _shards(nodes: DataFrame, n: int, radius: int) -> DataFrame:
-    """(shard, fp): each fingerprint once for each choice of blocks that must agree for some pair within the radius."""
+def shards(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """choice, bits and the columns of nodes (fp among them): each row once for each choice of blocks that must agree for some pair within the radius."""
     blocks = radius + 1
     while blocks < radius + 5 and n > 1 << (64 * (blocks - radius) // blocks + 6):
         blocks += 1
@@ -149,18 +153,18 @@ def _shards(nodes: DataFrame, n: int, radius: int) -> DataFrame:
         mask = sum(((1 << (cut[i + 1] - cut[i])) - 1) << cut[i] for i in chosen)
         mask -= (mask >> 63) << 64
         keys.append(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("shard")).select("shard.choice", "shard.bits", "fp")
+    return nodes.select("*", F.explode(F.array(*keys)).alias("shard")).select("shard.choice", "shard.bits", *nodes.columns)
 
 
 def linked(nodes: DataFrame, n: int, radius: int = 3) -> DataFrame:
     """(u, v): links between fingerprints that together connect whatever is within the radius. nodes: distinct fp."""
-    shards = _shards(nodes, n, radius)
-    hot = shards.groupBy("choice", "bits").count().where(F.col("count") > PART).select("choice", "bits", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    members = shards(nodes, n, radius)
+    hot = members.groupBy("choice", "bits").count().where(F.col("count") > PART).select("choice", "bits", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     hot = stored(hot, "hot-shards")
     side = small_or_shuffled(hot)
-    cold = shards.join(side, ["choice", "bits"], "left_anti").select("choice", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(True).alias("tree"), F.lit(True).alias("ask"))
+    cold = members.join(side, ["choice", "bits"], "left_anti").select("choice", "bits", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(True).alias("tree"), F.lit(True).alias("ask"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    warm = shards.join(side, ["choice", "bits"]).select("choice", "bits", "fp", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    warm = members.join(side, ["choice", "bits"]).select("choice", "bits", "fp", part.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     warm = warm.select("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("ask"))
     key = ["choice", "bits", "i", "j"]
     rows = cold.unionByName(warm).repartition(*key).sortWithinPartitions(*key)
