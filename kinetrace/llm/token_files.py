@@ -42,20 +42,18 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     needs = np.searchsorted(_LIMITS, values, side="right").astype(np.int8) + 1  # smallest selector; 15 asks for the escape
     ends = np.cumsum(lengths)
     end = np.repeat(ends, lengths)
-    best = np.where(needs > 14, 0, 14).astype(np.int8)
-    fit = np.arange(n)
+    # The most that windows of each count need, with room after each block for windows that reach beyond it.
+    room = np.arange(n) + np.repeat(np.arange(len(lengths)) * COUNTS[1], lengths)
+    widest = np.zeros(n + len(lengths) * COUNTS[1], dtype=np.int8)
+    widest[room] = needs
+    best, count = np.where(widest > 14, 0, 14).astype(np.int8), 1
     for s in range(13, 0, -1):
-        fit = fit[needs[fit] <= s]
-        if not len(fit):
-            break
-        last = np.flatnonzero(np.r_[np.diff(fit) != 1, True])
-        reach = np.repeat(fit[last] + 1, np.diff(np.r_[-1, last]))  # where the run of values that fit ends
-        best[fit[(reach - fit >= COUNTS[s]) | (reach >= end[fit])]] = s
-    after, starts, i = np.minimum(np.arange(n) + np.array(COUNTS)[best], end).tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i = after[i]
-    starts = np.array(starts)
+        more = COUNTS[s] - count
+        widest[:-more] = np.maximum(widest[:-more], widest[more:])
+        count = COUNTS[s]
+        np.copyto(best, np.int8(s), where=widest <= s)
+    best = best[room]
+    starts = word_starts(np.minimum(np.arange(n) + np.array(COUNTS)[best], end), ends - lengths, ends)
     sel = best[starts]
     sizes = np.diff(np.r_[starts, n])
     escaped = sel == 0
@@ -65,13 +63,36 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     words[place[escaped] + 1] = values[starts[escaped]]
     for s in range(1, 15):
         own = np.flatnonzero(sel == s)
-        for k in range(COUNTS[s] if len(own) else 0):
-            own = own[sizes[own] > k]
-            words[place[own]] |= values[starts[own] + k] << np.uint64(BITS[s] * k)
+        if not len(own):
+            continue
+        at, size, packed = starts[own], sizes[own], words[place[own]]
+        for k in range(COUNTS[s]):
+            v = values[np.minimum(at + k, n - 1)]
+            v[size <= k] = 0
+            packed |= v << np.uint64(BITS[s] * k)
+        words[place[own]] = packed
     per_block = np.bincount(np.searchsorted(ends, starts, side="right"), weights=1 + escaped, minlength=len(lengths)).astype(np.int64)
     return words, per_block
 
 
+def word_starts(after: np.ndarray, begins: np.ndarray, ends: np.ndarray, few: int = 48) -> np.ndarray:
+    """Where words start, ascending: after[i] follows i. All blocks step at once, the last few long ones one by one."""
+    found, at, stop = [], begins[begins < ends], ends[begins < ends]
+    while len(at) > few:
+        found.append(at)
+        at = after[at]
+        on = at < stop
+        if not on.all():
+            at, stop = at[on], stop[on]
+    for i, end in zip(at.tolist(), stop.tolist(), strict=True):
+        step, base, own = after[i:end].tolist(), i, []
+        while i < end:
+            own.append(i)
+            i = step[i - base]
+        found.append(np.array(own))
+    return np.sort(np.concatenate(found))
+
+
 def decode(words: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of all blocks, and where each block starts among them; offsets are the blocks' first words."""
     words = np.asarray(words, dtype=np.uint64)

@@ -57,14 +57,17 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.kind, self.letters = self.tokenizer.model, kind, _byte_letters()
+        self.plain = re.compile("[!-~]+").fullmatch
         self.split, self.parts, self.pieces = _SPLIT[kind], _Table(self._whole), _Table(self._piece)
+        self.words = _Table(lambda word: b"".join(map(self.pieces.__getitem__, self.split(word))))
         self.tail = np.array([end], dtype="<u4").tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        letters = piece if self.plain(piece) else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids for each text."""
@@ -75,7 +78,12 @@ class Ids:
                 continue
             try:
                 t.encode("latin-1")
-                ids = b"".join(map(self.pieces.__getitem__, self.split(t.lower() if self.kind == "word" else t)))
+                if self.kind == "byte":
+                    ids = b"".join(map(self.pieces.__getitem__, self.split(t)))
+                elif any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+                    ids = b"".join(map(self.pieces.__getitem__, self.split(t.lower())))
+                else:
+                    ids = b"".join(map(self.words.__getitem__, t.lower().split()))
             except UnicodeEncodeError:
                 if any(c in t for c in _OTHER_WHITE):
                     ids = self._whole(t)
