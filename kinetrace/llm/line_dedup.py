@@ -1,7 +1,7 @@
 """Substring dedup by hashes of lines.
 
-A text is cut into lines and, within lines, after sentence ends. Each unit, and from each
-cut the shortest run of units with at least `words` words, is normalised (lower case, single spaces) and digested with 128 bits. Digests are grouped over the whole
+A text is cut into lines and, within lines, after sentence ends. Each line, and from each cut the shortest run of
+sentences with at least `words` words (it may go on over line ends), is a unit. It is normalised (lower case, single spaces) and digested with 128 bits. Digests are grouped over the whole
 table; the occurrence of smallest rank (doc_id, then offset) stays and the units of all others are removed, so a passage
 that other texts also hold is found wherever it starts within a line, without comparing documents. Offsets of what is
 removed are those of the original text, in code points, ends exclusive.
@@ -9,7 +9,8 @@ removed are those of the original text, in code points, ends exclusive.
 A digest's group is never gathered: it is counted with partial aggregation and joined back by a join that Spark splits
 if a digest is very common. Null texts count as empty; texts without words have no units; a null
 doc_id ranks after all others. Rows that repeat doc_id and text count as one document (both keep the same units); rows
-that share a doc_id with other texts rank equal and keep their units. Repeats inside one text are removed too. An empty
+that share a doc_id with other texts, or have none, rank by a hash of the text. Very long texts are cut whole; extra
+columns are left aside. Repeats inside one text are removed too. An empty
 table gives no rows.
 """
 
@@ -25,38 +26,42 @@ from pyspark.sql import functions as F
 
 from .shared import batch, documents, ids_and_texts, slices
 
-WORDS = 8
+#: A run this long fits, from its first cut, into passages of over 50 words, and ordinary sentences rarely repeat by chance in it.
+WORDS = 20
 LAST = (1 << 63) - 1
 _CUT = re.compile(r"(?<=[.!?])[ \t]+|[ \t]*\n\s*")
 
 
 def units(text: str, words: int = WORDS):
-    """(digest, start, end) of each unit of fewer words, and of the run that begins at each unit."""
-    cuts, at = [], 0
-    for m in _CUT.finditer(text):
-        if m.start() > at:
-            cuts.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        cuts.append((at, len(text)))
-    own = [text[a:b].lower().split() for a, b in cuts]
-    n = len(cuts)
+    """(digest, start, end) of each line, and of the run of sentences with at least `words` words that begins at each cut."""
 
     def digest(run):
         return blake2b(" ".join(run).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    for i in range(n):
-        j, run = i + 1, own[i]
-        if len(run) < words:
-            if run:
-                yield digest(run), *cuts[i]
-            run = list(run)
-            while j < n and len(run) < words:
-                run += own[j]
-                j += 1
-            if len(run) < words:
-                continue
-        yield digest(run), cuts[i][0], cuts[j - 1][1]
+    cuts, lines, at, n = [], [], 0, len(text)
+    for m in [*_CUT.finditer(text), None]:
+        end, after = m.span() if m else (n, n)
+        if end > at:
+            cuts.append((at, end, text[at:end].lower().split()))
+        if m is None or "\n" in m[0]:
+            lines.append(len(cuts))
+        at = after
+    first = 0
+    for last in lines:
+        line = [w for c in cuts[first:last] for w in c[2]]
+        if line:
+            yield digest(line), cuts[first][0], cuts[last - 1][1]
+        first = last
+    lines, j, held = {(a, b) for a, b in zip([0, *lines], lines)}, 0, 0
+    for i in range(len(cuts)):
+        while j < len(cuts) and held < words:
+            held += len(cuts[j][2])
+            j += 1
+        if held < words:
+            break
+        if (i, j) not in lines:
+            yield digest([w for c in cuts[i:j] for w in c[2]]), cuts[i][0], cuts[j - 1][1]
+        held -= len(cuts[i][2])
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -117,8 +122,8 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
 def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_removed, removed (start:end, comma-joined, of the original text), text (what is kept)."""
     every = unit_table(docs, words)
-    first = every.where("not again").groupBy("a", "b").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = every.where("not again").join(first.select("a", "b", "first"), ["a", "b"]).where("rank > first")
+    first = every.where("not again").groupBy("a", "b").agg(F.min(F.struct("rank", "of")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = every.where("not again").join(first.select("a", "b", "first"), ["a", "b"]).where("struct(rank, of) > first")
     spans = later.select("rank", "of", "start", "end").unionByName(every.where("again").select("rank", "of", "start", "end"))
     gone = spans.groupBy("rank", "of").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # bounded by the text
     texts = _hashed(docs).withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))

@@ -143,6 +143,45 @@ def test_components_of_a_path(spark):
     assert {r.node: r.root for r in S.components(e).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
+def plain_units(text, words=20):
+    """(normalised unit, start, end): whole lines, and from each sentence start the shortest run of enough words."""
+    sentences, lines = [], []
+    for line in re.finditer(r"[^\n]+", text):
+        own = []
+        for m in re.finditer(r"(?:(?![.!?][ \t]).)+(?:[.!?](?=[ \t]))?", line[0], re.S):
+            body = m[0].strip(" \t") if own else m[0].rstrip(" \t")
+            if body.strip():
+                at = line.start() + m.start() + m[0].index(body)
+                own.append((at, at + len(body)))
+        if own:
+            sentences += own
+            lines.append((own[0][0], own[-1][1]))
+    norm = lambda a, b: " ".join(text[a:b].lower().split())
+    out = {(norm(a, b), a, b) for a, b in lines}
+    for i, (a, _) in enumerate(sentences):
+        for _, b in sentences[i:]:
+            if len(norm(a, b).split()) >= words:
+                out.add((norm(a, b), a, b))
+                break
+    return out
+
+
+def test_units_against_plain_ones():
+    from hashlib import blake2b
+
+    texts = ["One two. Three four!\nFive six? Seven " + "word " * 25 + "end. Last one.\n\nA line", "", "single", "A.\nB.\nA.\n" + "x y z. " * 12]
+    for t in texts:
+        want = {(blake2b(u.encode(), digest_size=16).digest(), s, e) for u, s, e in plain_units(t)}
+        assert set(L.units(t)) == want
+
+
+def test_repeats_among_rows_without_an_id_are_removed(spark):
+    docs = spark.createDataFrame([(None, "Shared line of text.\nOne own."), (None, "Shared line of text.\nTwo own."), (4, "Four.\nSame here."), (4, "Other.\nSame here.")], "doc_id long, text string")
+    texts = [r.text for r in L.line_dedup(docs).collect()]
+    assert sum("Shared" in t for t in texts) == 1 and sum("Same" in t for t in texts) == 1
+    assert all(any(own in t for t in texts) for own in ("One own.", "Two own.", "Four.", "Other."))
+
+
 def test_lines_against_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in documents(spark, SF).select("doc_id", "text").collect())
     got = {r.doc_id: (r.text, r.removed) for r in L.op5_line_dedup(spark, SF).collect()}
