@@ -16,7 +16,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +89,8 @@ class Candidates:
         self.atoms = [(m.start(), m.end(), m[0]) for m in _ATOM.finditer(text, low, high)]
         self.segments: list[tuple[int, int, tuple[int, ...], tuple[str, ...]]] = []  # first atom, end, kinds, features
         atoms = self.atoms
-        blocked = [any(a < e and b > s for s, e in taken) for a, b, _ in atoms]
+        spans = Reach(taken)
+        blocked = [spans.end_before(b) > a for a, b, _ in atoms]
         for i, (a, _, first) in enumerate(atoms):
             if blocked[i] or not (first[0].isascii() and first[0].isalnum() or first in "+("):
                 continue
@@ -260,11 +263,32 @@ def generated(seed: int, count: int) -> list[tuple[str, list[tuple[int, int, int
     return out
 
 
+class Reach:
+    """Spans by start, with the largest end up to each: overlaps without a pass over all spans."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.starts, self.ends = [s for s, _ in self.spans], list(accumulate((e for _, e in self.spans), max))
+
+    def end_before(self, at: int) -> int:
+        """The largest end of spans that start before at; -1 without any."""
+        i = bisect_left(self.starts, at)
+        return self.ends[i - 1] if i else -1
+
+    def between(self, low: int, high: int) -> list[tuple[int, int]]:
+        """Spans that overlap low to high."""
+        i = j = bisect_left(self.starts, high)
+        while i and self.ends[i - 1] > low:
+            i -= 1
+        return [x for x in self.spans[i:j] if x[1] > low]
+
+
 def _stretches(text: str, taken: list[tuple[int, int]]):
     """Parts of the text around what could be personal data beyond the spans taken, apart from each other."""
     low = high = -1
+    spans = Reach(taken)
     for m in _SEED.finditer(text):
-        if any(s <= m.start() and m.end() <= e for s, e in taken):
+        if spans.end_before(m.start() + 1) >= m.end():
             continue
         a, b = max(0, m.start() - 12 * AROUND), min(len(text), m.end() + 12 * AROUND)
         a = text.rfind("\n", 0, m.start()) + 1 if "\n" in text[a : m.start()] else a
@@ -298,10 +322,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: SpanField) -
     if not _SEED.search(text):
         return []
     taken = [(s, e) for s, _, e in base]
-    out = []
+    out, spans = [], Reach(taken)
     for low, high in _stretches(text, taken):
-        near = [(s, e) for s, e in taken if s < high and e > low]
-        c = Candidates(text, low, high, near)
+        c = Candidates(text, low, high, spans.between(low, high))
         if c.segments:
             out += field.best(c)
     return out

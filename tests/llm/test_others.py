@@ -195,3 +195,21 @@ def test_pipeline_equals_its_stages_done_plainly(spark):
         if name == "packing":
             assert set(after.doc_id) == set(before.doc_id)
     assert sizes[0] > 0.5 * quality.documents(spark, SF).count()
+
+
+def test_reach_equals_a_pass_over_all_spans():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        spans = [(int(s), int(s + n)) for s, n in zip(rng.integers(0, 40, 6), rng.integers(1, 15, 6), strict=True)]
+        a, b = sorted(rng.choice(60, 2, replace=False).tolist())
+        reach = pii.Reach(spans)
+        assert (reach.end_before(b) > a) == any(a < e and b > s for s, e in spans)
+        assert (reach.end_before(a + 1) >= b) == any(s <= a and b <= e for s, e in spans)
+        assert sorted(reach.between(a, b)) == sorted(x for x in spans if x[0] < b and x[1] > a)
+
+
+def test_long_text_of_many_addresses():
+    text = "".join(f"some words to user{i} at mail dot example, or user{i}@mail.example.org on\n" for i in range(14_000))
+    base = pii.base_spans(text)
+    assert len(text) > 1_000_000 and len(base) == 14_000
+    pii.added_spans(text, base, pii.trained())
