@@ -1,15 +1,19 @@
 """Quality classifier by co-training two views.
 
 The text view sees the words of the whole text and its shape (capitals, marks, digits, repetition); the metadata view
-sees source, language and length. Both are logistic regressions. Over some rounds each labels the documents of an
-unlabelled pool that it is sure of, and these go to the training rows of the other. At the end a logistic combination,
-fitted on labelled rows kept aside, calibrates both views into one probability. This is done for quality and toxicity;
-a document stays if it is probably of quality and probably not toxic.
-
-Fitting uses at most LABELLED labelled rows and POOL unlabelled ones (those with the smallest hashes of doc_id), whatever
-the input; all documents are scored over their whole texts. Labels that are null are left out; a doc_id labelled twice
-counts twice. Without labels of both classes a target has no say. Null or empty texts, sources and languages are values
-like others; a null n_chars is unknown length. An empty table gives no rows.
+sees source, language and length. Both are logistic regressions, first fitted on labelled rows. In each round either view
+labels every unlabelled document of the table that it is sure of, and these documents go to the training rows of the
+other view: the executors sum their features by label and bucket (a hash of source and language), and the other view is
+fitted on the labelled rows and on the mean row of each bucket, weighted by its documents. At the end a logistic
+combination, fitted on labelled rows kept aside, calibrates both views into one probability. This is done for quality and
+toxicity; a document stays if it is probably of quality and probably not toxic.
+
+Fitting uses at most LABELLED labelled rows (those with the smallest hashes of doc_id); the exchange of pseudo-labels and
+the scores cover all documents over their whole texts. What reaches the driver are word counts and integers, bounded by
+LABELLED, VOCABULARY and BUCKETS. Labels that are null are left out. A doc_id counts once in fitting, with its smallest
+label and its smallest row, however often it comes. Without labels of both classes a target has no say. Null or empty
+texts, sources and languages are values like others; a null n_chars is unknown length; texts of any length are read in
+bounded slices. Extra columns of any name are left alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +23,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, documents, slices, text_of
+from .shared import batch, documents, slices, stored, text_of
 
-#: Bounds of what is fitted on: labelled rows, unlabelled pool, words of the vocabulary.
-LABELLED, POOL, VOCABULARY = 12_000, 3_000, 40_000
-ROUNDS, SURE, EACH = 3, 0.97, 300
+#: Bounds of what is fitted on: labelled rows, words of the vocabulary.
+LABELLED, VOCABULARY = 12_000, 40_000
+#: Rounds of exchange, what a view must be sure of, the weight of all pseudo-labelled rows against the labelled ones.
+ROUNDS, SURE, PSEUDO = 3, 0.97, 0.1
+#: Buckets whose mean rows stand for their documents, and slots for names of sources and languages.
+BUCKETS, SLOTS = 16, 4096
 _MARKS = re.compile(r"[^\w\s.,;:'\"-]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -49,15 +57,20 @@ def shape_of(text: str) -> list[str]:
     return [f"<{name} {k}>" for name, v in levels.items() for k in range(1, min(int(v), 20) + 1)]
 
 
+def _slot(name, slots: int) -> str:
+    return "none" if name is None else str(xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), 3) % slots)
+
+
 def metadata_of(source, lang, n_chars) -> list[str]:
-    size = "none" if n_chars is None else int(np.log2(max(0, n_chars) + 1) * 2)
-    return [f"source={source}", f"lang={lang}", f"size={size}", f"lang={lang} size={size}"]
+    """Names of source and language are hashed, so that their number is bounded."""
+    size, lang = "none" if n_chars is None else int(np.log2(max(0, n_chars) + 1) * 2), _slot(lang, SLOTS // 16)
+    return [f"source={_slot(source, SLOTS)}", f"lang={lang}", f"size={size}", f"lang={lang} size={size}"]
 
 
 class View:
-    """Logistic regression on sets of named features."""
+    """Logistic regression on sets of features, or on their shares in a group of documents."""
 
-    def __init__(self, weights: dict[str, float] | None = None, bias: float = 0.0):
+    def __init__(self, weights: dict | None = None, bias: float = 0.0):
         self.weights, self.bias = weights or {}, bias
 
     def logit(self, features) -> float:
@@ -65,16 +78,18 @@ class View:
         return self.bias + sum([get(f, 0.0) for f in features])
 
     def fit(self, rows: list, target: np.ndarray, weight: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> View:
-        names: dict[str, int] = {}
+        """rows: features of each row, as a list (each is 1) or as a dictionary of values."""
+        names: dict = {}
         lengths = np.array([len(r) for r in rows])
         index = np.array([names.setdefault(f, len(names)) for r in rows for f in r], dtype=np.int64)
+        value = np.array([x for r in rows for x in (r.values() if isinstance(r, dict) else (1.0,) * len(r))], dtype=float)
         row = np.repeat(np.arange(len(rows)), lengths)
         w, b, total = np.zeros(len(names)), 0.0, weight.sum()
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, steps + 1):
-            z = np.bincount(row, weights=w[index], minlength=len(rows)) + b
+            z = np.bincount(row, weights=w[index] * value, minlength=len(rows)) + b
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / total
-            g = np.r_[np.bincount(index, weights=error[row], minlength=len(w)) + ridge * w, error.sum()]
+            g = np.r_[np.bincount(index, weights=error[row] * value, minlength=len(w)) + ridge * w, error.sum()]
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = 0.15 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
             w, b = w - step[:-1], b - step[-1]
@@ -126,34 +141,98 @@ def combined(z: np.ndarray, target: np.ndarray, steps: int = 50, ridge: float =
     return np.r_[w[0], w[1:] / scale]
 
 
-def co_train(text: list, meta: list, target: np.ndarray, pool_text: list, pool_meta: list) -> tuple[View, View, np.ndarray] | None:
-    """Text view, metadata view and weights of their combination; None without both classes."""
-    aside = np.arange(len(target)) % 4 == 3
-    if min(target[~aside].sum(), (1 - target[~aside]).sum()) < 1 or min(target[aside].sum(), (1 - target[aside]).sum()) < 1:
-        return None
-    kept = telling([r for r, a in zip(text, aside, strict=True) if not a], target[~aside])
-    text, pool_text = ([[f for f in r if f in kept] for r in rows] for rows in (text, pool_text))
-    own = [[[r for r, a in zip(rows, aside, strict=True) if not a], list(target[~aside]), [1.0] * int((~aside).sum())] for rows in (text, meta)]
-    pools, given = (pool_text, pool_meta), [set(), set()]
-    for step in range(ROUNDS + 1):
-        views = []
-        for rows, y, weight in own:
-            y, weight = np.array(y, dtype=float), np.array(weight)
+class CoTraining:
+    """Both views of one target: words and metadata of labelled rows, a quarter of them kept aside for calibration."""
+
+    def __init__(self, text: list, meta: list, target: np.ndarray):
+        aside = np.arange(len(target)) % 4 == 3
+        self.possible = min(target[~aside].sum(), (1 - target[~aside]).sum()) >= 1 and min(target[aside].sum(), (1 - target[aside]).sum()) >= 1
+        self.kept = telling([r for r, a in zip(text, aside, strict=True) if not a], target[~aside])
+        both = ([[f for f in r if f in self.kept] for r in text], meta)
+        self.rows = [[r for r, a in zip(rows, aside, strict=True) if not a] for rows in both]
+        self.rest = [[r for r, a in zip(rows, aside, strict=True) if a] for rows in both]
+        self.target, self.rest_target, self.views = target[~aside], target[aside], [View(), View()]
+
+    def fit(self, means: tuple[list, list]):
+        """means: for each view (row, label, documents) of the buckets that the other view is sure of."""
+        for k, view in enumerate(self.views):
+            y, weight = np.r_[self.target, [m[1] for m in means[k]]], np.ones(len(self.target))
+            mass = np.array([m[2] for m in means[k]], dtype=float)
+            for label in (0.0, 1.0):
+                # Pseudo-labels keep the proportion of the classes among the labelled rows.
+                of = np.array([m[1] == label for m in means[k]], dtype=bool)
+                if of.any():
+                    mass[of] *= PSEUDO * (self.target == label).sum() / mass[of].sum()
+            weight = np.r_[weight, mass]
             share = (y * weight).sum() / weight.sum()
-            views.append(View().fit(rows, y, weight * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5))
-        if step == ROUNDS:
-            break
-        for k, view in enumerate(views):
-            p = 1 / (1 + np.exp(-np.clip([view.logit(r) for r in pools[k]], -30, 30)))
-            other = own[1 - k]
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                fresh = [i for i in np.argsort(-sure, kind="stable").tolist() if i not in given[k] and sure[i] >= SURE][:EACH]
-                given[k].update(fresh)
-                other[0] += [pools[1 - k][i] for i in fresh]
-                other[1] += [label] * len(fresh)
-                other[2] += [0.3] * len(fresh)
-    z = np.array([[v.logit(r) for v, r in zip(views, pair, strict=True)] for pair in zip([r for r, a in zip(text, aside, strict=True) if a], [r for r, a in zip(meta, aside, strict=True) if a], strict=True)])
-    return (*views, combined(z, target[aside]))
+            view.fit(self.rows[k] + [m[0] for m in means[k]], y, weight * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5)
+
+    def combination(self) -> np.ndarray:
+        z = np.array([[v.logit(r) for v, r in zip(self.views, pair, strict=True)] for pair in zip(*self.rest, strict=True)])
+        return combined(z, self.rest_target)
+
+
+def _bucket(meta: str) -> int:
+    return xxhash.xxh32_intdigest(meta.split("\tsize=")[0].encode(), 5) % BUCKETS
+
+
+def exchanged(rows: DataFrame, models: dict[str, CoTraining], words: int) -> dict[str, tuple[list, list]]:
+    """Mean rows of what each view is sure of, over all rows (words array<int>, meta string): for each target, for each
+    receiving view, (row, label, documents). Sums are taken in the tasks and again by a grouping, then collected:
+    2 targets x 2 views x 2 labels x BUCKETS rows of features at most."""
+    plain = {}
+    for name, m in models.items():
+        w = np.zeros(words)
+        for f, v in m.views[0].weights.items():
+            w[f] = v
+        plain[name] = (w, m.views[0].bias, m.views[1].weights, m.views[1].bias, np.isin(np.arange(words), list(m.kept)))
+    model = rows.sparkSession.sparkContext.broadcast(plain)  # bounded by the vocabulary and the slots
+    out = pa.schema([("target", pa.string()), ("view", pa.int32()), ("label", pa.int32()), ("bucket", pa.int32()), ("feature", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        text, meta = {}, Counter()
+        sure = np.log(SURE / (1 - SURE))
+        for rb in batches:
+            lists, coded = rb.column(0), rb.column(1).dictionary_encode()
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(rb.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            metas, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            bucket = np.array([_bucket(m) for m in metas], dtype=np.int64)[of]
+            for name, (w, bias, weights, meta_bias, kept) in model.value.items():
+                a = np.bincount(row, weights=w[flat], minlength=rb.num_rows) + bias
+                b = np.array([meta_bias + sum(weights.get(f, 0.0) for f in m.split("\t")) for m in metas])[of]
+                for label, yes in ((1, a >= sure), (0, a <= -sure)):
+                    for i, n in zip(*np.unique(of[yes], return_counts=True), strict=True):
+                        meta[name, label, metas[i]] += int(n)
+                for label, yes in ((1, b >= sure), (0, b <= -sure)):
+                    used = yes[row] & kept[flat]
+                    key = (name, label)
+                    if key not in text:
+                        text[key] = np.zeros(BUCKETS * (words + 1), dtype=np.int64)
+                    text[key] += np.bincount(bucket[row[used]] * (words + 1) + flat[used], minlength=BUCKETS * (words + 1))
+                    text[key] += np.bincount(bucket[yes] * (words + 1) + words, minlength=BUCKETS * (words + 1))
+        sums = Counter()
+        for (name, label, m), n in meta.items():
+            for f in (*m.split("\t"), ""):
+                sums[name, label, _bucket(m), f] += n
+        found = [(name, 1, label, b, f, n) for (name, label, b, f), n in sums.items()]
+        for (name, label), counts in text.items():
+            for i in np.flatnonzero(counts).tolist():
+                b, f = divmod(i, words + 1)
+                found.append((name, 0, label, b, "" if f == words else str(f), int(counts[i])))
+        for i in range(0, len(found), 50_000):
+            yield batch(out, *zip(*found[i : i + 50_000], strict=True))
+
+    kind = "target string, view int, label int, bucket int, feature string, n long"
+    total = rows.select("words", "meta").mapInArrow(run, kind).groupBy("target", "view", "label", "bucket", "feature").agg(F.sum("n").alias("n"))
+    groups: dict[tuple, dict] = {}
+    for target, view, label, b, f, n in sorted(zip(*(c.to_pylist() for c in total.toArrow().columns), strict=True)):
+        groups.setdefault((target, view, label, b), {})[f] = n
+    means = {name: ([], []) for name in models}
+    for (target, view, label, _), row in groups.items():
+        n = row.pop("")
+        means[target][view].append(({(int(f) if view == 0 else f): v / n for f, v in row.items()}, float(label), n))
+    return means
 
 
 class Scorer:
@@ -177,35 +256,52 @@ def _columns(docs: DataFrame) -> list:
     return [docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), named("source", "string"), named("lang", "string"), named("n_chars", "long")]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Scorer:
-    """Fit both targets on bounded samples; what reaches the driver are their words, not texts."""
-    hashed = F.xxhash64(F.col("doc_id"), F.lit(11))
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(hashed, "doc_id", "quality", "toxic").limit(labelled)
-    plain = docs.select(*_columns(docs))
-    more = plain.select("doc_id").where("doc_id is not null").orderBy(hashed, "doc_id").limit(pool).distinct()
-    asked = known.unionByName(more.select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic")))
-    out = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), ("meta", pa.list_(pa.string()))])
+def _featured(plain: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
+    """plain with the words of the whole text (names, or numbers of those in the vocabulary) and metadata instead of it."""
+    of = plain.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by VOCABULARY
+    extra = [c for c in plain.columns if c not in ("doc_id", "text", "source", "lang", "n_chars")]
+    kinds = {"doc_id": pa.int64(), "quality": pa.int32(), "toxic": pa.int32()}
+    out = pa.schema([*((c, kinds[c]) for c in ("doc_id", *extra)), ("words", pa.list_(pa.string() if vocabulary is None else pa.int32())), ("meta", pa.string())])
 
     def run(batches):
+        known = of.value
         for rb in batches:
             for part in slices(rb):
-                cols = [c.to_pylist() for c in part.columns]
-                words = [sorted(words_of(t)) + shape_of(t) for t in cols[1]]
-                yield batch(out, part.column(0), part.column(5), part.column(6), words, [metadata_of(*m) for m in zip(*cols[2:5], strict=True)])
-
-    # asked has at most labelled + pool rows, so it may be broadcast.
-    sample = plain.join(F.broadcast(asked), "doc_id").select(*plain.columns, "quality", "toxic").mapInArrow(run, "doc_id long, quality int, toxic int, words array<string>, meta array<string>")
-    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["quality"], r["toxic"], r["words"]))
-    marked = [r for r in rows if r["quality"] >= 0]
-    ids = {r["doc_id"] for r in marked}
-    rest = [r for r in rows if r["quality"] < 0 and r["doc_id"] not in ids]
-    counts = Counter(w for r in marked for w in r["words"])
-    vocabulary = {w for w, n in counts.most_common(VOCABULARY) if n >= 4}
-    for r in rows:
-        r["words"] = [w for w in r["words"] if w in vocabulary]
-    take = lambda of, key: [r[key] for r in of]
-    return Scorer({name: co_train(take(marked, "words"), take(marked, "meta"), np.array(take(marked, name), dtype=float), take(rest, "words"), take(rest, "meta")) for name in ("quality", "toxic")} if marked else {})
+                words = [[*words_of(t), *shape_of(t)] for t in part["text"].to_pylist()]
+                words = [sorted(w) if known is None else sorted(known[x] for x in w if x in known) for w in words]
+                meta = ["\t".join(metadata_of(*m)) for m in zip(*(part[c].to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+                yield batch(out, *(part[c] for c in ("doc_id", *extra)), words, meta)
+
+    kind = ", ".join([f"{c} {'long' if c == 'doc_id' else 'int'}" for c in ("doc_id", *extra)] + [f"words array<{'string' if vocabulary is None else 'int'}>", "meta string"])
+    return plain.mapInArrow(run, kind)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Scorer:
+    """Fit both targets on a bounded sample of labelled rows and on the sums of all documents the views are sure of."""
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(labelled).select("doc_id", "y.quality", "y.toxic")
+    known = F.broadcast(stored(known, "labels"))  # at most `labelled` rows of integers
+    plain = docs.select(*_columns(docs))
+    once = plain.join(known, "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("d")).select("doc_id", "d.*", "quality", "toxic")
+    sample = stored(_featured(once, None), "labelled-words")
+    common = sample.select(F.explode("words").alias("w")).groupBy("w").count().where("count >= 4").orderBy(F.desc("count"), "w").limit(VOCABULARY)
+    names = [r.w for r in common.collect()]
+    rows = sorted(_featured(once, {w: i for i, w in enumerate(names)}).toArrow().to_pylist(), key=lambda r: r["doc_id"])
+    models = {}
+    for name in ("quality", "toxic"):
+        m = CoTraining([r["words"] for r in rows], [r["meta"].split("\t") for r in rows], np.array([r[name] for r in rows], dtype=float))
+        if m.possible:
+            models[name] = m
+            m.fit(([], []))
+    if not models:
+        return Scorer({})
+    kept = sorted(set().union(*(m.kept for m in models.values())))
+    rest = stored(_featured(plain.join(known.select("doc_id"), "doc_id", "left_anti"), {names[i]: i for i in kept}), "unlabelled-words")
+    for _ in range(rounds):
+        means = exchanged(rest, models, len(names))
+        for name, m in models.items():
+            m.fit(means[name])
+    return Scorer({k: (View({names[f]: v for f, v in m.views[0].weights.items()}, m.views[0].bias), m.views[1], m.combination()) for k, m in models.items()})
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
