@@ -42,6 +42,39 @@ def test_tool_calls_are_linked_ordered_and_validated(spark):
     assert tool_calls.linked(tool_calls.events(empty, ADD)).count() == 0
 
 
+def test_tool_calls_awkward(spark):
+    deep = '{"tool_calls":[{"id":"d","name":"add","arguments":' + '{"a":' * 1500 + "1" + "}" * 1500 + "}]}"
+    rows = [
+        (1, 0, "assistant", deep), (1, 1, "tool", '{"tool_call_id":"\\ud800","content":"\\udfff"}'), (1, 2, "assistant", '\n {"tool_calls":[{"id":"\\ud800","name":"add","arguments":{"a":1,"b":2}}]}'),
+        (1, 3, "tool", '{"tool_call_id":"n","content":NaN}'), (1, 4, "tool", '{"tool_call_id":"n","content":1e999}'), (1, 5, "assistant", call(("u", "odd", 3))), (1, 6, "user", "x" * 500_000), (1, 7, "user", ""), (None, 8, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "k", "d", "p") for r in rows], TURNS + ", kind string, digest string, problems string")
+    out = {r.turn: r for r in tool_calls.linked(tool_calls.events(df, {**ADD, "odd": {"type": ["integer", "date"], "format": "x"}})).collect()}
+    assert len(out) == 9 and (out[0].kind, out[0].problems) == ("message", ["nested too deeply"])
+    assert out[1].call_id == "\\ud800" and out[1].body == '{"content":"\\udfff","role":"tool","tool_call_id":"\\\\ud800"}'
+    assert (out[2].kind, out[2].status, out[2].problems) == ("call", "early-result", [])
+    assert out[3].kind == out[4].kind == "message" and json.loads(out[3].body)["content"] == rows[3][3]
+    assert out[5].problems == ["$: unsupported keyword format", "$: unsupported type date"]
+    assert json.loads(out[6].body)["content"] == "x" * 500_000 and json.loads(out[7].body)["content"] == "" and out[8].role == ""
+
+
+def test_long_chain_of_calls_is_ordered():
+    n = 20_000
+    order, cyclic = tool_calls.ordered([(str(i), [str(i + 1)]) for i in range(n)])
+    assert order == list(range(n - 1, -1, -1)) and not cyclic
+    assert tool_calls.ordered([("a", ["b"]), ("b", ["a"]), ("c", ["a"]), ("d", [])]) == ([3, 0, 1, 2], {0, 1, 2})
+
+
+@pytest.mark.parametrize(("value", "schema", "broken"), [
+    ("ab", {"pattern": "^b"}, True), ("ab", {"pattern": "b"}, False), (1, {"enum": [True]}, True), (1.0, {"const": 1}, False), (3, {"exclusiveMaximum": 3}, True), (0.3, {"multipleOf": 0.1}, False), (7, {"multipleOf": 2}, True),
+    ([1, 1.0], {"uniqueItems": True}, True), ({"a": 1, "z": "s"}, {"properties": {"a": {}}, "additionalProperties": {"type": "integer"}}, True), (5, {"anyOf": [{"type": "string"}, {"minimum": 4}]}, False),
+    (5, {"oneOf": [{"type": "integer"}, {"minimum": 4}]}, True), (5, {"not": {"type": "integer"}}, True), ({"n": {"n": 3}}, {"$defs": {"t": {"properties": {"n": {"type": "object"}}}}, "$ref": "#/$defs/t"}, False),
+    ([[["x"]]], {"items": {"$ref": "#"}, "type": "array"}, True), ({}, {"minProperties": 1}, True), (1, {"allOf": [{"minimum": 0}, {"maximum": 0}]}, True), (1, {"$ref": "#/none"}, True), (1, False, True),
+])
+def test_schema_keywords(value, schema, broken):
+    assert bool(tool_calls.violations(value, schema)) == broken
+
+
 def test_all_turns_of_the_table_are_events(spark):
     out = tool_calls.op2_tool_calls(spark, SF)
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
@@ -152,6 +185,28 @@ def test_classifier_on_held_out_labels(spark):
     assert kept.columns == docs.columns and kept.count() == quality.op10_quality(spark, sf).where("keep").count()
 
 
+def test_exchange_sums_all_rows_that_a_view_is_sure_of(spark):
+    """Means of the exchange against a plain computation over every row."""
+    words = [["a", "b"], ["b"], ["c"], [], ["a", "c"]] * 8
+    meta = [["source=1", "lang=1", "size=3", "lang=1 size=3"], ["source=2", "lang=1", "size=4", "lang=1 size=4"]] * 20
+    y = np.array([1.0, 1, 0, 0, 1] * 8)
+    m = quality.CoTraining([["abc".index(w) for w in r] for r in words], meta, y)
+    m.kept = {0, 1, 2}
+    m.views = [quality.View({0: 6.0, 2: -7.0}, 0.0), quality.View({"source=1": 5.0, "source=2": -5.0}, 0.0)]
+    df = spark.createDataFrame([(["abc".index(w) for w in r], "\t".join(x)) for r, x in zip(words, meta, strict=True)], "words array<int>, meta string").repartition(5)
+    got = quality.exchanged(df, {"quality": m}, 3)["quality"]
+    for view in (0, 1):
+        want = {}
+        for r, x in zip(words, meta, strict=True):
+            z = 6.0 * ("a" in r) - 7.0 * ("c" in r) if view else 5.0 * (x[0] == "source=1") - 5.0 * (x[0] == "source=2")
+            if abs(z) >= np.log(0.97 / 0.03):
+                n, sums = want.setdefault((float(z > 0), quality._bucket("\t".join(x))), [0, {}])
+                want[float(z > 0), quality._bucket("\t".join(x))][0] += 1
+                for f in x if view else ["abc".index(w) for w in r]:
+                    sums[f] = sums.get(f, 0) + 1
+        assert sorted((y, n, sorted(r.items())) for r, y, n in got[view]) == sorted((y, n, sorted((f, v / n) for f, v in s.items())) for (y, _), (n, s) in want.items())
+
+
 def test_calibration_of_separated_classes():
     """Widely separated scores must not throw the calibration off."""
     rng = np.random.default_rng(1)
