@@ -3,16 +3,18 @@
 Vectors are cut into blocks of dimensions; the score of a row is the sum of its partial inner products over the blocks.
 Each block at each site (a packed batch of rows) is a local score list.
 
-1. Each site names the k best entries of each list for each query and gives the k best sums of the rows so named. The
-   k-th largest over all sites is a safe cutoff: the k-th best score is no smaller.
-2. The cutoff goes to all sites with the queries. A row that reaches it has, in some list, at least cutoff / blocks; the
-   sites collect the rows that do. A list in which a row stays below adds less than that, which prunes further.
-3. The remaining rows are scored exactly, and the k best of each site are merged.
-
-Queries and sites meet in blocks: query blocks of bounded size are dealt to every group of sites. Nothing is collected;
+1. Each site names the k best entries of each list for each query, and only rows so named are summed. The k-th largest of
+   these sums over all sites is a safe cutoff: the k-th best score is no smaller.
+2. The cutoff goes to all sites with the queries. A row that reaches it has, in some list, at least cutoff / blocks. List
+   by list a row drops out once what it has plus the most that the lists left can add (the product of both norms there)
+   is below the cutoff; later lists are computed for rows that are still in, densely only where these are many.
+3. The rows that are left after the last list have their whole score, and the k best of each site are merged.
+
+Queries and sites meet in blocks: query blocks of bounded size are dealt to every group of sites; a site is smaller, and
+groups are more, where rows are few, so that all cores have work. Nothing is collected;
 no side is broadcast by Spark. Arithmetic is in doubles on integers, exact below 2**53. Ties go to the smaller id.
 Null vectors, vectors with null or non-finite components and rows without an id take no part; vectors of different
-lengths do not meet. A query row is left out of its own result (by id); repeated rows are rows of their own, and a query
+lengths do not meet. Extra columns of any name are not read. A query row is left out of its own result (by id); repeated rows are rows of their own, and a query
 id that comes repeatedly shares one result. Empty tables give empty results.
 """
 
@@ -26,8 +28,10 @@ from pyspark.sql.window import Window
 
 from .shared import batch, stored
 
-#: Rows of a site, queries of a block, and sites of a group.
-SITE, ASKED, GROUP = 8192, 512, 8
+#: Most rows of a site, queries of a block, and sites of a group; least rows of a site.
+SITE, ASKED, GROUP, LEAST = 8192, 512, 8, 512
+#: Share of rows still in below which a list is computed for them alone, and pairs gathered at once.
+SPARSE, GATHER = 0.1, 1 << 16
 
 
 def whole(vectors: DataFrame, scale: int = 256, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -73,6 +77,39 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
 
 
+def _sums(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (q[i], x[j])."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), GATHER):
+        out[a : a + GATHER] = np.einsum("nd,nd->n", q[i[a : a + GATHER]], x[j[a : a + GATHER]])
+    return out
+
+
+def survivors(q: np.ndarray, x: np.ndarray, cutoff: np.ndarray, own: np.ndarray, cuts: list[slice]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs (i, j) that may reach the cutoff of q[i], their scores, and how many list entries were computed."""
+    norms = [(np.linalg.norm(q[:, c], axis=1), np.linalg.norm(x[:, c], axis=1)) for c in cuts]
+    floor = cutoff - 1e-6 * np.maximum(1, np.abs(cutoff))
+    free, share = ~np.isfinite(cutoff), floor / len(cuts)
+    i, j = np.nonzero(~own)
+    score, high, computed = np.zeros(len(i)), np.zeros(len(i), dtype=bool), 0
+    for at, c in enumerate(cuts):
+        if len(i) > SPARSE * own.size:
+            s, computed = (q[:, c] @ x[:, c].T)[i, j], computed + own.size
+        else:
+            s, computed = _sums(q[:, c], x[:, c], i, j), computed + len(i)
+        score, high = score + s, high | (s >= share[i])
+        bound = score.copy()
+        for n, m in norms[at + 1 :]:
+            # A row with no list at its share so far needs one among those left, or it is out.
+            bound += n[i] * m[j] * (1 + 1e-9)
+        reach = high.copy()
+        for n, m in norms[at + 1 :]:
+            reach |= n[i] * m[j] * (1 + 1e-9) >= share[i]
+        keep = free[i] | ((bound >= floor[i]) & reach)
+        i, j, score, high = i[keep], j[keep], score[keep], high[keep]
+    return i, j, score, computed
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """found (query_id, id, score) with rank, the k best of each query; a partial limit runs before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -81,8 +118,10 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 4) -> DataFrame:
     """(query_id, rank, id, score) of the k rows (id, x) with the largest inner product for each query (id, x)."""
-    groups = max(1, -(-rows.count() // (SITE * GROUP)))
-    sites = stored(packed(rows, SITE, groups), "sites").withColumnRenamed("part", "g")
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
+    size = min(SITE, max(LEAST, -(-n // (2 * cores))))
+    tasks = groups = max(1, min(-(-n // size), max(2 * cores, -(-n // (SITE * GROUP)))))
+    sites = stored(packed(rows, size, groups), "sites").withColumnRenamed("part", "g")
     queries = queries.groupBy("id").agg(F.first("x").alias("x"))
     found = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
     columns = "ids, data, dims, q_ids, q_data".split(", ")
@@ -90,7 +129,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 4) -> D
     def meet(asked: DataFrame) -> DataFrame:
         """Every site with every query block."""
         dealt = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "dims", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-        return sites.join(dealt.hint("merge"), ["g", "dims"]).select(*columns)
+        # A number of partitions that is asked for is not coalesced: the tables are small, the work on them is not.
+        both = (side.repartition(tasks, "g", "dims") for side in (sites, dealt))
+        return next(both).join(next(both).hint("merge"), ["g", "dims"]).select(*columns)
 
     def pairs(batches, extra):
         for rb in batches:
@@ -103,35 +144,28 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 4) -> D
 
     def name(batches):
         for q_ids, q, ids, x, own, cuts in pairs(batches, 0):
-            named, total = np.zeros(own.shape, dtype=bool), np.zeros(own.shape)
+            named = []
             for cut in cuts:
                 s = q[:, cut] @ x[:, cut].T
-                total += s
                 s[own] = -np.inf
-                np.put_along_axis(named, _best(s, k), True, axis=1)
-            total[~named | own] = -np.inf
+                named.append(_best(s, k))
+            named = np.sort(np.concatenate(named, axis=1), axis=1)
+            total = _sums(q, x, np.repeat(np.arange(len(q)), named.shape[1]), named.ravel()).reshape(named.shape)
+            again = np.c_[np.zeros(len(q), dtype=bool), named[:, 1:] == named[:, :-1]]
+            total[again | np.take_along_axis(own, named, axis=1)] = -np.inf
             best = _best(total, k)
             score = np.take_along_axis(total, best, axis=1)
             keep = np.isfinite(score)
-            yield batch(found, pa.array(np.repeat(q_ids, keep.sum(axis=1))), pa.array(ids[best][keep]), pa.array(score[keep]))
+            yield batch(found, pa.array(np.repeat(q_ids, keep.sum(axis=1))), pa.array(ids[np.take_along_axis(named, best, axis=1)][keep]), pa.array(score[keep]))
 
     def resolve(batches):
         for q_ids, q, ids, x, own, cuts in pairs(batches, 1):
-            cutoff = q[:, -1]
-            share = (cutoff / len(cuts))[:, None]
-            reached, most = np.zeros(own.shape, dtype=bool), np.zeros(own.shape)
-            for cut in cuts:
-                s = q[:, :-1][:, cut] @ x[:, cut].T
-                over = s >= share
-                reached |= over
-                most += np.where(over, s, share)
-            reached &= (most >= (cutoff - 1e-6 * np.maximum(1, np.abs(cutoff)))[:, None]) & ~own
-            reached |= ~np.isfinite(cutoff)[:, None] & ~own
-            for i in range(len(q)):
-                c = np.flatnonzero(reached[i])
-                exact = x[c] @ q[i, :-1]
-                best = np.argsort(-exact, kind="stable")[:k]
-                yield batch(found, pa.array(np.full(len(best), q_ids[i])), pa.array(ids[c[best]]), pa.array(exact[best]))
+            i, j, score, _ = survivors(q[:, :-1], x, q[:, -1], own, cuts)
+            order = np.lexsort((j, -score, i))  # rows of a site are in the order of their ids
+            i, j, score = i[order], j[order], score[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+            keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+            yield batch(found, pa.array(q_ids[i[keep]]), pa.array(ids[j[keep]]), pa.array(score[keep]))
 
     kind = "query_id long, id long, score double"
     named = _ranked(meet(stored(packed(queries, ASKED, 1), "asked")).mapInArrow(name, kind), k)

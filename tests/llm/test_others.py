@@ -167,6 +167,35 @@ def test_top_k_against_brute_force(spark, monkeypatch, sizes):
     assert len(got) == 15
 
 
+def test_survivors_hold_all_best_rows():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.normal(size=(4000, 64)))
+    x[:500] -= 200  # negative scores too
+    q = x[::100]
+    own, cuts = np.arange(0, 4000, 100)[:, None] == np.arange(4000), topk._cuts(64, 4)
+    full = np.where(own, -np.inf, q @ x.T)
+    cutoff = np.sort(full, axis=1)[:, -5] * 0.98 - 1
+    i, j, score, computed = topk.survivors(q, x, cutoff, own, cuts)
+    assert (score == full[i, j]).all() and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i)
+    assert set(zip(*np.nonzero(full >= cutoff[:, None]), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(i) < 0.01 * own.size and computed <= own.size * len(cuts)
+    # Rows that come in groups drop out early, and their later lists are not computed.
+    y = np.floor(x[rng.integers(0, 40, 4000)] + 20 * rng.normal(size=x.shape))
+    full = np.where(own, -np.inf, y[::100] @ y.T)
+    i, j, score, computed = topk.survivors(y[::100], y, np.sort(full, axis=1)[:, -5], own, cuts)
+    assert (score == full[i, j]).all() and len(i) >= 5 * 40 and computed < 0.8 * own.size * len(cuts)
+    cutoff[:] = -np.inf
+    assert len(topk.survivors(q, x, cutoff, own, cuts)[0]) == (~own).sum()
+
+
+def test_top_k_takes_clashing_columns_and_repeats(spark):
+    rows = [(0, [1.0, 2.0], 1, 9), (50, [3.0, 1.0], 1, 9), (50, [3.0, 1.0], 1, 9), (7, [], 1, 9), (8, [1.0, None], 1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, score long")
+    whole = topk.whole(df)
+    got = [(r.query_id, r["rank"], r.id, r.score) for r in topk.top_k(whole, whole.where("id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 50, 327680), (0, 2, 50, 327680), (50, 1, 0, 327680)]
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [1.0])], "vec_id long, embedding array<float>")
     rows = topk.whole(df)
