@@ -12,7 +12,7 @@ def session_summary(events: DataFrame, gap: str = "6 hours", late: str = "1 day"
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     w = F.session_window("ts", gap).alias("w")
-    out = events.groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("event_type").alias("kinds"), F.avg("value").alias("mean_value"))
+    out = events.groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("event_type")).cast("long").alias("kinds"), F.avg("value").alias("mean_value"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "kinds", "mean_value")
 
 
