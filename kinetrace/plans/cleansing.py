@@ -69,7 +69,7 @@ _SPLIT = """sp AS (SELECT user_id, pos, genuine, split, quantity, tax, row_numbe
 pt AS (SELECT *, CASE WHEN k <= CASE WHEN n = 1 THEN 0 ELSE least(n - 1, greatest(1, round_even(n * 0.8, 0))) END THEN 'dev' ELSE 'holdout' END AS part FROM sp)"""
 
 
-@query("C3 S3", f"WITH {SESSIONS_SQL}, {_SPLIT} SELECT user_id, pos, genuine, part FROM pt")
+@query("C3", f"WITH {SESSIONS_SQL}, {_SPLIT} SELECT user_id, pos, genuine, part FROM pt")
 def leakage_free_split(spark, sf_dir):
     return C.leak_free_split(sessions(spark, sf_dir), key=(F.col("pos") * 48271) % 2147483647).select("user_id", "pos", "genuine", "part")
 

@@ -26,7 +26,7 @@ def decision_rates(spark, sf_dir):
     return rounded(E.decision_rates(scored(spark, sf_dir), ["user_id"], -0.3))
 
 
-@query("M3 J15 A26 O4", f"""WITH {SESSIONS_SQL}, {_S}, g AS (SELECT scd.*, k, k / 100.0 - 0.5 AS t FROM scd, (SELECT unnest(range(10, 60, 10)) AS k)), {_R.format(k='k', t='t', f='g')},
+@query("M3 A26 O4", f"""WITH {SESSIONS_SQL}, {_S}, g AS (SELECT scd.*, k, k / 100.0 - 0.5 AS t FROM scd, (SELECT unnest(range(10, 60, 10)) AS k)), {_R.format(k='k', t='t', f='g')},
 a AS (SELECT k, avg(tar) AS tar, avg(frr) AS frr, avg(far) AS far, max(far) AS max_far, avg(accuracy) AS accuracy FROM dr GROUP BY 1) SELECT k, round(tar, 6) AS tar, round(frr, 6) AS frr, round(far, 6) AS far, round(max_far, 6) AS max_far, round(accuracy, 6) AS accuracy, round((frr + far) / 2, 6) AS hter FROM a""")
 def threshold_grid(spark, sf_dir):
     """A grid of five thresholds against all sessions: each row takes part in every cell, so rows are exploded."""

@@ -20,7 +20,7 @@ def split_rows(spark, sf_dir):
     return C.leak_free_split(sessions(spark, sf_dir)).withColumn("dev", F.col("part") == "dev")
 
 
-@query("Q7 Q8 Q9 Q10 Q13 Q15 Q16 Q17 A31")
+@query("Q7 Q8 Q9 Q10 Q13 Q15 Q16 Q17")
 def distribution_kernels(spark, sf_dir):
     return G.distribution_kernels(series(spark, sf_dir), ["user_id"])
 
@@ -70,12 +70,12 @@ def model_table(spark, sf_dir):
     return G.model_table(sessions(spark, sf_dir), NAMES)
 
 
-@query("R15 R16 R18")
+@query("R15 R16")
 def model_importance(spark, sf_dir):
     return G.importance(sessions(spark, sf_dir), NAMES)
 
 
-@query("M6 M7 M8")
+@query("M6 M7")
 def feature_count_selection(spark, sf_dir):
     """Mean rates over users for each number of ranked features."""
     order = [r.feature for r in R.auc_details(R.feature_auc(features(spark, sf_dir))).orderBy(F.desc("median_auc"), "feature").select("feature").collect()]

@@ -122,7 +122,7 @@ def mrmr_selection(spark, sf_dir):
     return spark.createDataFrame([(i + 1, f, round(s, 6)) for i, (f, s) in enumerate(R.mrmr(rel, red, 40))], "rank long, feature string, mrmr_score double")
 
 
-@query("R24 R25 O2 J8", f"""WITH {SESSIONS_SQL}, {_AUC}, t AS (SELECT feature FROM det ORDER BY median_auc DESC, feature LIMIT 2) SELECT user_id, feature, round(auc, 6) AS auc FROM aucs SEMI JOIN t USING (feature)""")
+@query("R25 O2 J8", f"""WITH {SESSIONS_SQL}, {_AUC}, t AS (SELECT feature FROM det ORDER BY median_auc DESC, feature LIMIT 2) SELECT user_id, feature, round(auc, 6) AS auc FROM aucs SEMI JOIN t USING (feature)""")
 def auc_baseline(spark, sf_dir):
     a = R.feature_auc(features(spark, sf_dir))
     top = R.auc_details(a).orderBy(F.desc("median_auc"), "feature").limit(2)
