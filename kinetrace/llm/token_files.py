@@ -29,8 +29,12 @@ from .tokens import ids_of
 #: Selector s packs COUNTS[s] values of BITS[s] bits; 0 is the escape.
 BITS = (64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
-SEGMENT = 16 << 20
+SEGMENT = 4 << 20
+#: Words that a reader decodes at once, and bytes of text that a writer encodes at once.
+RUN, TEXT = 1 << 16, 4 << 20
 _LIMITS = np.array([1 << b for b in BITS[1:]], dtype=np.uint64)
+#: The smallest selector for each value of 16 bits.
+_NEEDS = (np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right") + 1).astype(np.int8)
 
 
 def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +43,8 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(lengths), np.int64)
-    needs = np.searchsorted(_LIMITS, values, side="right").astype(np.int8) + 1  # smallest selector; 15 asks for the escape
+    # Smallest selector; 15 asks for the escape.
+    needs = _NEEDS[values] if values.max() < 1 << 16 else np.searchsorted(_LIMITS, values, side="right").astype(np.int8) + 1
     ends = np.cumsum(lengths)
     end = np.repeat(ends, lengths)
     # The most that windows of each count need, with room after each block for windows that reach beyond it.
@@ -127,6 +132,13 @@ def segment(doc_ids: list, lengths: np.ndarray, per_block: np.ndarray, words: by
 
 def read_segment(image: bytes) -> tuple[list, list[np.ndarray]]:
     """doc_ids and their arrays of ids (unsigned 64-bit)."""
+    runs = list(read_runs(image))
+    return [d for ids, _ in runs for d in ids], [a for _, arrays in runs for a in arrays]
+
+
+def read_runs(image: bytes):
+    """doc_ids and arrays as read_segment gives them, by runs of documents of about RUN words: only one run is decoded at a time."""
+    image = memoryview(image)
     if image[:4] != b"S8B1":
         raise ValueError("no segment of token ids")
     n, m = struct.unpack_from("<IQ", image, 4)
@@ -135,8 +147,12 @@ def read_segment(image: bytes) -> tuple[list, list[np.ndarray]]:
         parts.append(np.frombuffer(image, dtype=kind, count=size, offset=at))
         at += parts[-1].nbytes
     ids, has, lengths, offsets, words = parts
-    values, starts = decode(words, offsets, lengths)
-    return [i if h else None for i, h in zip(ids.tolist(), has.tolist(), strict=True)], [values[a : a + k] for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + np.uint64(RUN), side="right")) - 1)
+        values, starts = decode(words[int(offsets[at]) : int(offsets[to])], offsets[at:to] - offsets[at], lengths[at:to])
+        yield [i if h else None for i, h in zip(ids[at:to].tolist(), has[at:to].tolist(), strict=True)], [values[a : a + k] for a, k in zip(starts.tolist(), lengths[at:to].tolist(), strict=True)]
+        at = to
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_path: str, kind: str = "word", end: int = 1) -> None:
@@ -152,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_path: str, kind: str
     def encoded(batches):
         ids = ids_of(tokenizer_path, kind, end)
         for rb in batches:
-            for part in slices(rb, 4 << 20):
+            for part in slices(rb, TEXT):
                 arrays = ids.encode(part.column(1).to_pylist())
                 lengths = np.array([len(a) for a in arrays], dtype=np.int64)
                 words, per_block = encode(np.concatenate(arrays), lengths)
@@ -199,12 +215,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for rb in batches:
-            for part, first, image in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                doc_ids, arrays = read_segment(image)
-                n = np.array([len(a) for a in arrays], dtype=np.int64)
-                starts = base[part] + first + np.r_[0, np.cumsum(n)[:-1]]
-                for i in range(0, len(n), 1024):
-                    yield batch(out, doc_ids[i : i + 1024], pa.array(starts[i : i + 1024]), pa.array(n[i : i + 1024]), [a.astype("<u4").tobytes() for a in arrays[i : i + 1024]])
+            for part, first, image in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), (x.as_buffer() for x in rb.column(2)), strict=True):
+                start = base[part] + first
+                for doc_ids, arrays in read_runs(image):
+                    n = np.array([len(a) for a in arrays], dtype=np.int64)
+                    starts = start + np.r_[0, np.cumsum(n)[:-1]]
+                    start += int(n.sum())
+                    for i in range(0, len(n), 1024):
+                        yield batch(out, doc_ids[i : i + 1024], pa.array(starts[i : i + 1024]), pa.array(n[i : i + 1024]), [a.astype("<u4").tobytes() for a in arrays[i : i + 1024]])
 
     return files.select("part", "first_token", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

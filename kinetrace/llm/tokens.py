@@ -13,6 +13,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from tokenizers import Tokenizer
 
 #: Parts, and pieces of parts, that a task remembers before it starts afresh.
@@ -27,6 +29,9 @@ _SPLIT = {
     "word": re.compile(rf"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_S}{_L}{_N}]+").findall,
 }
 
+#: In RE2: what "word" splits besides runs of letters.
+_NO_WORD = rf"({_ENDINGS}|[{_N}]|[^\t\n\x0b\x0c\r {_L}{_N}]+)"
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -36,15 +41,18 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Table(dict):
-    """Ids by key; what is missing is made, and remembered if short."""
+    """Ids by key; what is missing is made, and remembered if short. What was not asked for since the table was last half full goes first."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.make(key)
         if len(key) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.before = self.copy()
                 self.clear()
             self[key] = ids
         return ids
@@ -59,7 +67,6 @@ class Ids:
         self.model, self.kind, self.letters = self.tokenizer.model, kind, _byte_letters()
         self.plain = re.compile("[!-~]+").fullmatch
         self.split, self.parts, self.pieces = _SPLIT[kind], _Table(self._whole), _Table(self._piece)
-        self.words = _Table(lambda word: b"".join(map(self.pieces.__getitem__, self.split(word))))
         self.tail = np.array([end], dtype="<u4").tobytes()
 
     def _whole(self, text: str) -> bytes:
@@ -69,9 +76,24 @@ class Ids:
         letters = piece if self.plain(piece) else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of lower-case Latin-1 texts whose only white space is ASCII's: each distinct piece is looked up once."""
+        cut = pa.compute.ascii_split_whitespace(pa.compute.replace_substring_regex(pa.array(texts, pa.large_string()), _NO_WORD, r" \1 "))
+        named = cut.values.dictionary_encode()
+        found = list(map(self.pieces.__getitem__, named.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        ids = np.frombuffer(b"".join([*found, self.tail]), dtype="<u4")
+        size = np.array([*map(len, found), 4], dtype=np.int32) >> 2
+        first = np.cumsum(size, dtype=np.int32) - size
+        ends = np.asarray(cut.offsets)[1:]
+        piece = np.insert(named.indices.to_numpy(zero_copy_only=False), ends, len(found))  # the end id as a last piece
+        each = size[piece]
+        stop = np.cumsum(each, dtype=np.int64)
+        out = ids[np.repeat(first[piece] - (stop - each), each) + np.arange(stop[-1])]
+        return np.split(out, stop[ends + np.arange(len(ends))][:-1])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids for each text."""
-        out = []
+        out, plain = [], []
         for t in texts:
             if any(a in t for a in self.added):
                 out.append(np.frombuffer(self._whole(t) + self.tail, dtype="<u4"))
@@ -80,16 +102,21 @@ class Ids:
                 t.encode("latin-1")
                 if self.kind == "byte":
                     ids = b"".join(map(self.pieces.__getitem__, self.split(t)))
-                elif any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
+                elif "\x85" in t or "\xa0" in t:
                     ids = b"".join(map(self.pieces.__getitem__, self.split(t.lower())))
                 else:
-                    ids = b"".join(map(self.words.__getitem__, t.lower().split()))
+                    plain.append((len(out), t.lower()))
+                    out.append(None)
+                    continue
             except UnicodeEncodeError:
                 if any(c in t for c in _OTHER_WHITE):
                     ids = self._whole(t)
                 else:
                     ids = b"".join(map(self.parts.__getitem__, t.replace("\n", " ").split(" ") if self.kind == "word" else _PARTS(t)))
             out.append(np.frombuffer(ids + self.tail, dtype="<u4"))
+        if plain:
+            for (i, _), ids in zip(plain, self._plain([t for _, t in plain]), strict=True):
+                out[i] = ids
         return out
 
 

@@ -166,3 +166,32 @@ def test_token_files(spark, awkward, tmp_path, monkeypatch):
     assert [i for n in names for i in T.read_segment(open(n, "rb").read())[0]] == ids
     T.write_tokens(awkward.limit(0), P.path("word_bpe_49k.json"), str(tmp_path / "none"))
     assert T.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_segment_is_read_run_by_run():
+    import tracemalloc
+
+    lengths = np.full(2000, 1000)
+    values = np.arange(2_000_000, dtype=np.uint64) % 49_000
+    words, per_block = T.encode(values, lengths)
+    image = T.segment(list(range(2000)), lengths, per_block, words.tobytes())
+    tracemalloc.start()
+    at = 0
+    for ids, arrays in T.read_runs(image):
+        for i, a in zip(ids, arrays, strict=True):
+            assert i == at // 1000 and (a == values[at : at + 1000]).all()
+            at += 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == 2_000_000 and peak < 10 << 20
+
+
+def test_pieces_asked_again_are_kept(monkeypatch):
+    from kinetrace.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    made = []
+    table = tokens._Table(lambda key: made.append(key) or key.encode())
+    for i in range(100):
+        assert table["often"] == b"often" and table[f"once{i}"] == f"once{i}".encode()
+    assert made.count("often") == 1 and len(table) + len(table.before) <= 8
