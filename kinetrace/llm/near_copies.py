@@ -3,11 +3,12 @@
 1. A text is the set of its distinct shingles of five words; equal sets are one node. Its fingerprint is the SimHash of
    its distinct words: a changed word alters up to five shingles but one word, so texts whose shingles are 0.8 alike
    differ in few bits. (Among 45 such pairs of sf0.1 7 bits or fewer: 44; by fingerprints of the shingles: 16.)
-2. Nodes whose fingerprints are within RADIUS share a shard (see simhash). In each shard's BK-tree every member asks for
-   its nearest members of other components. A shard above a size is cut into parts, and each pair of parts is a task's,
-   so that no task grows with a hot shard and no pair is lost.
-3. Each pair asked for is confirmed by the two whole sets: similarity of at least SIMILARITY. Confirmed pairs give
-   components; members that had more candidates than they could name ask again for more, until none is left out.
+2. Nodes whose fingerprints are within RADIUS share a shard (see simhash). Each shard's BK-tree gives a spanning forest of its
+   pairs, never all of them; their components are the groups, so that two nodes within RADIUS are in one group.
+3. In each group all whole sets are compared, by a product of 0/1 matrices in the task that holds them; pairs of at least SIMILARITY
+   are links, and the task reports a spanning forest of them. Components of the links are the near copies.
+A shard or group above a size is cut into parts, and each pair of parts is a task's, so that no task grows with a large one
+and no pair is lost.
 
 Null and empty texts have the empty set and are alike. Rows with a null doc_id get a component but never name one unless
 all of it is null; repeated rows fall in one component. Extra columns of any name are kept by keep_one. An empty table
@@ -24,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batch, ids_and_texts, slices, small_or_shuffled, stored
-from .simhash import AT_ONCE, LOWER, PART, WORDS, Forest, components, one_of_each, shards, sign_bits
+from .simhash import AT_ONCE, LOWER, PART, WORDS, Forest, components, one_of_each, shards, sign_bits, united
 
 SIMILARITY, RADIUS = 0.8, 7
-#: Candidates that a member names in the first round, and by how much they grow.
-NAMED, GROWTH = 4, 8
+#: Pairs that a task measures at once.
+MEASURED = 1 << 18
+#: Shingles by which a task compares sets at once.
+COLUMNS = 4096
+#: Members of a group whose sets a task compares with as many others.
+NAMED = 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,11 +63,10 @@ def node(found: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), 42)], dtype=np.uint64).view(np.int64)[0])
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+def signature(text: str, words: int) -> tuple[int, int]:
+    """The name of the text's set of shingles, and its fingerprint, unsigned."""
+    found = words_of(text)
+    return node(shingles(found, words)), fingerprint(found)
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -71,49 +75,61 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches):
         for rb in batches:
-            for part in slices(rb):
-                found = [words_of(t) for t in part.column(1).to_pylist()]
-                fps = np.array([fingerprint(f) for f in found], dtype=np.uint64).view(np.int64)
-                yield batch(out, part.column(0), [node(shingles(f, words)) for f in found], pa.array(fps))
+            for part in slices(rb, 2 << 20):
+                names, fps = zip(*(signature(x.as_py(), words) for x in part.column(1)), strict=True)
+                yield batch(out, part.column(0), names, pa.array(np.array(fps, dtype=np.uint64).view(np.int64)))
 
     return ids_and_texts(docs).mapInArrow(run, "doc_id long, node long, fp long")
 
 
-def nearest(fp: np.ndarray, group: np.ndarray, label: np.ndarray, tree: np.ndarray, ask: np.ndarray, named: int, radius: int):
-    """Yields (asking, named, whether more were left): the nearest members of other components in each one's group."""
+def spanning(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members and the roots that they hang on; leaves parent flat."""
+    while not np.array_equal(up := parent[parent], parent):
+        parent[:] = up
+    child = np.flatnonzero(parent != np.arange(len(parent)))
+    return child, parent[child]
+
+
+def near_links(fp: np.ndarray, group: np.ndarray, tree: np.ndarray, ask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (positions) of all pairs of an asking and a tree member of one group within the radius."""
     group = np.unique(group, return_inverse=True)[1]
     t, q = np.flatnonzero(tree), np.flatnonzero(ask)
     if not len(t) or not len(q):
-        return
+        return t[:0], t[:0]
     has = np.unique(group[t])
     q = q[np.isin(group[q], has)]
-    forest, at = Forest(fp[t], np.searchsorted(has, group[t]), radius), np.searchsorted(has, group)
-    for start in range(0, len(q), 512):
-        own = q[start : start + 512]
-        found = [(own[a], t[b]) for a, b in forest.within(fp[own], at[own])]
-        if not found:
-            continue
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        other = label[a] != label[b]
-        a, b = a[other], b[other]
-        order = np.lexsort((fp[b], np.bitwise_count(fp[a] ^ fp[b]), a))
-        a, b = a[order], b[order]
-        new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[new, len(a)])
-        first = np.arange(len(a)) - np.repeat(new, size) < named
-        yield a[first], b[first], np.repeat(size > named, size)[first]
-
-
-def candidates(rows: DataFrame, hot: DataFrame, named: int, radius: int) -> DataFrame:
-    """(u, v, more): u asks for v. rows: choice, bits, node, fp, label, open; hot: choice, bits, parts of shards that are cut."""
-    side = small_or_shuffled(hot)
-    every = ["choice", "bits", "i", "j", "node", "fp", "label", "tree", "ask"]
-    cold = rows.join(side, ["choice", "bits"], "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("tree"), F.col("open").alias("ask")).select(every)
-    warm = rows.join(side, ["choice", "bits"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    forest, at, parent = Forest(fp[t], np.searchsorted(has, group[t]), radius), np.searchsorted(has, group), np.arange(len(fp))
+    pairs = np.cumsum(np.bincount(at[t], minlength=len(has))[at[q]])
+    start = 0
+    while start < len(q):
+        stop = max(start + 1, int(np.searchsorted(pairs, (pairs[start - 1] if start else 0) + MEASURED, side="right")))
+        own, start = q[start:stop], stop
+        for a, b in forest.within(fp[own], at[own]):
+            a, b = parent[own[a]], parent[t[b]]
+            apart = a != b
+            if apart.any():
+                united(parent, a[apart], b[apart])
+                spanning(parent)
+    return spanning(parent)
+
+
+def grouped(rows: DataFrame, key: list[str], name: str, part: int) -> DataFrame:
+    """rows with i, j, tree, ask, dealt and sorted by key, i, j: each member of tree meets each of ask. Keys of more than part rows are cut,
+    each pair (i, j) of parts in a task of its own. name: the column that members are cut by."""
+    hot = rows.groupBy(*key).count().where(F.col("count") > part).select(*key, F.ceil(F.col("count") / part).cast("int").alias("parts"))
+    side = small_or_shuffled(stored(hot, "hot-groups"))
+    every = [*rows.columns, "i", "j", "tree", "ask"]
+    cold = rows.join(side, key, "left_anti").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("tree"), F.lit(True).alias("ask")).select(every)
+    warm = rows.join(side, key).withColumn("own", F.pmod(F.xxhash64(name), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     warm = warm.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("ask")).select(every)
+    key = [*key, "i", "j"]
+    return cold.unionByName(warm).repartition(*key).sortWithinPartitions(*key)
+
+
+def candidates(members: DataFrame, radius: int, part: int) -> DataFrame:
+    """(u, v): pairs of nodes that together connect whatever is within the radius. members: choice, bits, node, fp."""
     key = ["choice", "bits", "i", "j"]
-    dealt = cold.unionByName(warm).repartition(*key).sortWithinPartitions(*key)
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("more", pa.bool_())])
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
         rest = None
@@ -130,19 +146,12 @@ def candidates(rows: DataFrame, hot: DataFrame, named: int, radius: int) -> Data
             yield from pairs(rest)
 
     def pairs(frame):
-        if not len(frame):
-            return
-        group = (frame[key] != frame[key].shift()).any(axis=1).cumsum().to_numpy() - 1
-        name, label = frame.node.to_numpy(), frame.label.to_numpy()
-        # Only groups of several components have anything to ask for.
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        mixed = (np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))[group]
-        name, label, group = name[mixed], label[mixed], group[mixed]
-        fp, tree, ask = (frame[c].to_numpy()[mixed] for c in ("fp", "tree", "ask"))
-        for a, b, more in nearest(fp.view(np.uint64), group, label, tree, ask, named, radius):
-            yield batch(out, pa.array(name[a]), pa.array(name[b]), pa.array(more))
+        if len(frame):
+            group, name = (frame[key] != frame[key].shift()).any(axis=1).cumsum().to_numpy(), frame.node.to_numpy()
+            u, v = near_links(frame.fp.to_numpy().view(np.uint64), group, frame.tree.to_numpy(), frame.ask.to_numpy(), radius)
+            yield batch(out, pa.array(name[u]), pa.array(name[v]))
 
-    return dealt.mapInArrow(run, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
+    return grouped(members, ["choice", "bits"], "node", part).mapInArrow(run, "u long, v long").distinct()
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
@@ -153,26 +162,61 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches):
         for rb in batches:
-            for part in slices(rb):
+            for part in slices(rb, 2 << 20):
                 found = [shingles(words_of(t), words) for t in part.column(1).to_pylist()]
                 yield batch(out, [node(f) for f in found], [f.tobytes() for f in found])
 
     return plain.join(side, F.col("doc_id").eqNullSafe(F.col("__kt_id")), "left_semi").select("doc_id", "text").mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose whole sets are at least SIMILARITY alike."""
+def alike(found: list[np.ndarray], tree: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (positions) of the pairs of an asking and a tree member whose sets are at least SIMILARITY alike."""
+    size, parent = np.array([len(f) for f in found]), np.arange(len(found))
+    each, holders = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)[1:]
+    shared = holders > 1
+    own, col = np.repeat(parent, size)[shared[each]], (np.cumsum(shared) - 1)[each[shared[each]]]
+    order = np.argsort(col, kind="stable")
+    own, col = own[order], col[order]
+    t, q, both = np.flatnonzero(tree), np.flatnonzero(ask), 0
+    for start in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(col, [start, start + COLUMNS])
+        holds = np.zeros((len(found), min(COLUMNS, int(shared.sum()) - start)), dtype=np.float32)
+        holds[own[low:high], col[low:high] - start] = 1
+        both = both + holds[q] @ holds[t].T
+    if isinstance(both, int):
+        return t[:0], t[:0]
+    union = size[q][:, None] + size[t] - both
+    x, y = np.nonzero(both >= 1)
+    link = both[x, y].astype(float) / union[x, y] >= SIMILARITY
+    a, b = q[x], t[y]
+    united(parent, a[link], b[link])
+    return spanning(parent)
+
+
+def confirmed(groups: DataFrame, sets: DataFrame, part: int) -> DataFrame:
+    """(u, v): pairs of nodes at least SIMILARITY alike that together connect all such pairs of one root. groups: node, root; sets: node, found."""
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    both = pairs.select("u", "v").join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    dealt = grouped(groups.join(sets, "node"), ["root"], "node", part).select("root", "i", "j", "node", "found", "tree", "ask")
 
     def run(batches):
+        rows, at = [], None
         for rb in batches:
-            array = lambda x: np.frombuffer(x.as_py(), dtype=np.uint64)
-            keep = [similarity(array(a), array(b)) >= SIMILARITY for a, b in zip(rb.column(2), rb.column(3), strict=True)]
-            rb = rb.filter(pa.array(keep, pa.bool_()))
-            yield batch(out, rb.column(0), rb.column(1))
+            for root, i, j, name, found, tree, ask in zip(*(c.to_pylist() if n != "found" else c for n, c in zip(rb.schema.names, rb.columns, strict=True)), strict=True):
+                if at != (root, i, j) and rows:
+                    yield from pairs(rows)
+                    rows = []
+                at = root, i, j
+                rows.append((name, np.frombuffer(found.as_py(), dtype=np.uint64), tree, ask))
+        if rows:
+            yield from pairs(rows)
+
+    def pairs(rows):
+        name, found, tree, ask = zip(*rows, strict=True)
+        u, v = alike(found, np.array(tree), np.array(ask))
+        name = np.array(name)
+        yield batch(out, pa.array(name[u]), pa.array(name[v]))
 
-    return both.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS, part: int = PART, named: int = NAMED) -> DataFrame:
@@ -180,28 +224,10 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = RADIUS, part: int
     prints = stored(signatures(docs, words), "signatures")
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "nodes")
     members = stored(shards(nodes.select("node", "fp"), nodes.count(), radius), "shards")
-    hot = members.groupBy("choice", "bits").count().where(F.col("count") > part)
-    hot = stored(hot.select("choice", "bits", F.ceil(F.col("count") / part).cast("int").alias("parts")), "hot-shards")
-    rows = members.select("*", F.col("node").alias("label"), F.lit(True).alias("open"))
-    labels = links = tested = None
-    while True:
-        asked = stored(candidates(rows, hot, named, radius), "candidates")
-        new = asked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = stored(new if tested is None else new.join(tested, ["u", "v"], "left_anti"), "pairs")
-        some = new.select(F.col("u").alias("node")).unionByName(new.select(F.col("v").alias("node"))).distinct()
-        sets = stored(whole_sets(docs, nodes.join(small_or_shuffled(stored(some, "some")), "node", "left_semi"), words), "sets")
-        found = stored(confirmed(new, sets), "similar")
-        links = found if links is None else links.unionByName(found)
-        tested = new if tested is None else tested.unionByName(new)
-        labels = components(links)
-        more = stored(asked.where("more").select(F.col("u").alias("node"), F.lit(True).alias("open")).distinct(), "open")
-        if more.isEmpty():
-            break
-        named *= GROWTH
-        asking = small_or_shuffled(more)
-        wanted = stored(members.join(asking, "node").select("choice", "bits").distinct(), "wanted-shards")
-        rows = members.join(small_or_shuffled(wanted), ["choice", "bits"], "left_semi").join(small_or_shuffled(labels), "node", "left").join(asking, "node", "left")
-        rows = rows.select("choice", "bits", "node", "fp", F.coalesce("root", "node").alias("label"), F.coalesce("open", F.lit(False)).alias("open"))
+    groups = components(candidates(members, radius, part))
+    groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    sets = stored(whole_sets(docs, nodes.join(small_or_shuffled(groups), "node", "left_semi"), words), "sets")
+    labels = components(confirmed(groups, sets, named))
     labelled = nodes.select("node", "least").join(small_or_shuffled(labels), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(labelled.select("node", "root").join(ids, "root").select("node", "component_id"), "components")

@@ -286,3 +286,43 @@ def test_short_lines_before_different_text_are_units(spark):
     rows = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame([(1, one), (2, two), (3, "All rights reserved.")], "doc_id long, text string")).collect()}
     assert rows[1].text == one and rows[3].text == ""
     assert "rights reserved" not in rows[2].text and rows[2].text.endswith("and something else that no text repeats follows it")
+
+
+def test_large_group_of_near_copies_stays_linear():
+    """All pairs of 3,000 fingerprints are within the radius: a spanning forest comes back, in bounded memory."""
+    import tracemalloc
+
+    from kinetrace.llm import near_copies as N
+
+    n = 3000
+    rng = np.random.default_rng(5)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for _ in range(n)], dtype=np.uint64)
+    every = np.ones(n, dtype=bool)
+    tracemalloc.start()
+    child, root = N.near_links(np.uint64(0x0123456789ABCDEF) ^ flips, np.zeros(n, dtype=np.int64), every, every, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(child) == n - 1 and set(root) == {0}
+    assert peak < 60 << 20
+
+
+def test_sets_alike_against_brute_force(monkeypatch):
+    from kinetrace.llm import near_copies as N
+
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 50, rng.integers(0, 30)).astype(np.uint64)) for _ in range(40)]
+    sets += [s[:-1] for s in sets] + [np.r_[s, np.uint64(99)] for s in sets]
+    tree, ask = np.arange(120) % 3 > 0, np.arange(120) % 5 > 0
+    child, root = N.alike(sets, tree, ask)
+    of = list(range(120))
+    for i in np.flatnonzero(ask):
+        for j in np.flatnonzero(tree):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8 and of[i] != of[j]:
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of]
+    got = list(range(120))
+    for i, j in zip(child.tolist(), root.tolist(), strict=True):
+        got[i] = j
+    assert got == of
