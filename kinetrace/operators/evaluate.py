@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.kernels import IS_NAN, nearest_units
 from .relevance import auc
 
 
@@ -61,14 +63,32 @@ def verify(pairs: DataFrame, threshold: float = 0.25) -> DataFrame:
     return pairs.withColumn("similarity", cosine(F.col("a"), F.col("b"))).withColumn("same_person", F.col("similarity") >= threshold)
 
 
-def nearest_within(vectors: DataFrame, by: str, key: str, vector: str, k: int) -> DataFrame:
-    """(by, key, neighbour, distance, rank): k nearest by Euclidean distance within each group. The rank limit runs
-    before the shuffle of distances; groups are sessions of one user."""
+def nearest_within(vectors: DataFrame, by: str, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """(by, key, neighbour, distance, rank): k nearest by Euclidean distance within each group, exact; ties at nine digits by
+    neighbour, missing distances last.
+
+    All pairs are needed, so the work is quadratic in a group's size. Groups are dealt into blocks by a hash, each pair of
+    blocks is a task's unit of work, so memory does not grow with the groups, and pairs never become rows: k for each row leave a unit.
+    """
     v = vectors.select(by, key, vector)
-    p = v.join(v.withColumnsRenamed({key: "neighbour", vector: "other"}), by).where(F.col(key) != F.col("neighbour"))
-    d = F.sqrt(F.aggregate(F.zip_with(vector, "other", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
-    w = Window.partitionBy(by, key).orderBy("distance", "neighbour")
-    return p.select(by, key, "neighbour", F.round(d, 9).alias("distance")).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    largest = v.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()  # one row
+    blocks = max(1, -(-(largest[0] or 0) // block))
+    own, every = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    v = v.withColumn("own", own)
+    sides = v.select(by, key, vector, F.lit(True).alias("asks"), F.col("own").alias("q"), every.alias("c")).unionByName(v.select(by, key, vector, F.lit(False).alias("asks"), every.alias("q"), F.col("own").alias("c")))
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (by, key)}
+
+    def run(group, df):
+        asks = df["asks"].to_numpy(dtype=bool)
+        q, c = df[asks], df[~asks]
+        row, at, units = nearest_units(q[vector].to_numpy(), c[vector].to_numpy(), q[key].to_numpy(), c[key].to_numpy(), k)
+        return pd.DataFrame({by: group[0], key: q[key].to_numpy()[row], "neighbour": c[key].to_numpy()[at], "units": units})
+
+    tiles = sides.repartition(min(4000, max(1, (largest[1] or 0) * blocks * blocks)), by, "q", "c").groupBy(by, "q", "c")
+    best = tiles.applyInPandas(run, f"{by} {kinds[by]}, {key} {kinds[key]}, neighbour {kinds[key]}, units long")
+    w = Window.partitionBy(by, key).orderBy("units", "neighbour")
+    distance = F.when(F.col("units") < IS_NAN, F.col("units") / F.lit(1e9)).when(F.col("units") == IS_NAN, F.lit(float("nan")))
+    return best.select(by, key, "neighbour", distance.alias("distance"), F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, points=(0.5, 0.95, 0.99)) -> DataFrame:

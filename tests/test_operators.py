@@ -177,3 +177,17 @@ def test_each_user_is_left_out_once_and_numbers_are_the_surveys(spark, monkeypat
     for q in (P.boosted_trees, P.sparse_stability, P.shadow_selection, P.forest_leave_user_out):
         q(spark, "")
     assert seen == {"boosted_importance": 200, "sparse_stability": 50, "shadow_selection": 100, "forest_importance": 300}
+
+
+def test_nearest_of_all_pairs_in_blocks(spark):
+    rows = [(g, i, [float(i * 37 % 11), float(i * 53 % 7)] if (g, i) != ("b", 3) else None) for g, n in (("a", 60), ("b", 5)) for i in range(n)]
+    v = spark.createDataFrame(rows, "g string, i long, v array<float>")
+    got = {(r.g, r.i, r["rank"]): (r.neighbour, r.distance) for r in E.nearest_within(v, "g", "i", "v", 3, block=16).collect()}
+    want = {}
+    for g, i, x in rows:
+        d = sorted((float("inf") if x is None or y is None else round(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) ** 0.5, 9), j) for h, j, y in rows if h == g and j != i)
+        want |= {(g, i, r): (j, None if e == float("inf") else e) for r, (e, j) in enumerate(d[:3], 1)}
+    assert got == want
+    # Pairs must not become rows: no join of a group with itself.
+    plan = E.nearest_within(v, "g", "i", "v", 3, block=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
