@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import EPS, MEAN_FLOOR, TINY
-from .describe import correlation
+from .describe import correlation, profiled, with_quantiles
 
 
 def _w(by: list[str], order: str):
@@ -47,11 +47,15 @@ def successive_ratio_variance(df: DataFrame, by: list[str], order: str, value: s
     return d.groupBy(*by).agg(F.var_samp(F.when(F.abs("before") > TINY, F.col(value) / F.col("before"))).alias("ratio_variance"))
 
 
+def with_rank_dispersion(d: DataFrame) -> DataFrame:
+    """The column of `rank_dispersion` for profiled groups with quantiles."""
+    iqr = F.col("p75") - F.col("p25")
+    return d.withColumn("rank_dispersion", F.when((F.col("n") > 1) & (iqr > TINY), (F.col("max") - F.col("min")) / (F.col("n") - 1) / iqr))
+
+
 def rank_dispersion(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean gap of the sorted values over their interquartile range; the gaps sum to the range."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    a = df.groupBy(*by).agg(F.count(value).alias("n"), (F.max(value) - F.min(value)).alias("r"), q.alias("q")).withColumn("iqr", F.col("q")[1] - F.col("q")[0])
-    return a.select(*by, F.when((F.col("n") > 1) & (F.col("iqr") > TINY), F.col("r") / (F.col("n") - 1) / F.col("iqr")).alias("rank_dispersion"))
+    return with_rank_dispersion(with_quantiles(profiled(df, by, value))).select(*by, "rank_dispersion")
 
 
 def rolling_cv(df: DataFrame, by: list[str], order: str, value: str, size: int = 5, factor: float = 1.3, positive: float = 0.5) -> DataFrame:

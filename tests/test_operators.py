@@ -191,3 +191,53 @@ def test_nearest_of_all_pairs_in_blocks(spark):
     # Pairs must not become rows: no join of a group with itself.
     plan = E.nearest_within(v, "g", "i", "v", 3, block=16)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_shuffles_follow_the_size_of_the_table(spark, monkeypatch):
+    from kinetrace import model
+    from kinetrace.plans import control as P
+
+    def exchanges(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    sf = "/root/testdata/sf0.001"
+    for q, most in ((P.session_outlier_report, 1), (P.metric_statuses, 1), (P.health_scores, 2), (P.deep_audit, 1)):
+        plan = exchanges(q(spark, sf))
+        assert plan.count("Exchange") <= most and "Join" not in plan  # one shuffle of the wide rows, and one of metrics
+    monkeypatch.setattr(model, "SHARE", 1000)
+    assert model.sessions(spark, sf).rdd.getNumPartitions() > 50
+    users = model.features(spark, sf).select("user_id", F.spark_partition_id().alias("p")).distinct()
+    assert users.count() == users.select("user_id").distinct().count()
+
+
+def test_bins_of_all_rows_are_not_dealt_by_feature(spark):
+    d = spark.range(1000).select((F.col("id") % 7).alias("user_id"), (F.col("id") % 2).cast("int").alias("genuine"), F.lit("f").alias("feature"), F.col("id").cast("double").alias("value"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.binned_information(d, ["feature"])
+        assert out.count() == 1
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ranks_over_a_feature_need_no_window_over_all_its_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, 300).astype(float), rng.normal(size=300)
+    rows = [(i % 5, "train", i, 1, f, float(v) if (i + k) % 11 else None) for k, (f, x) in enumerate((("a", a), ("b", b))) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, LONG.replace("user_id string", "user_id long"))
+    rank = lambda x: (x[:, None] > x[None]).sum(1) + ((x[:, None] == x[None]).sum(1) + 1) / 2
+    kept = {f: {r[2]: r[5] for r in rows if r[4] == f and r[5] is not None} for f in "ab"}
+    r = {f: dict(zip(x, rank(np.array(list(x.values()))), strict=True)) for f, x in kept.items()}
+    assert {(x.feature, x.pos): x.value for x in C.with_ranks(d, 50).collect()} == {(f, i): v for f in "ab" for i, v in r[f].items()}
+    both = sorted(set(r["a"]) & set(r["b"]))
+    out = C.feature_correlations(d, ["user_id", "pos"], False, ranks=True)
+    got = out.first()
+    assert got.n == len(both) and got["corr"] == pytest.approx(np.corrcoef([r["a"][i] for i in both], [r["b"][i] for i in both])[0, 1])
+    assert C.feature_medians(d) == {f: float(np.median(list(x.values()))) for f, x in kept.items()}
+    # Windows run within ranges of a feature or over a row for each range, never over a feature's rows.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("range" in line for line in plan.splitlines() if "Window [" in line)
