@@ -59,7 +59,8 @@ def binned_information(long: DataFrame, by: list[str], bins: int = 10) -> DataFr
     d = long.where(F.col("value").isNotNull())
     ends = d.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     b = F.least(F.floor(ratio(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"), 0.0, 0.0) * bins), F.lit(bins - 1))
-    c = d.join(ends, by).groupBy(*by, "genuine", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    # Without the user there is a row a feature: broadcast, since dealing rows by feature gives a task all rows of one.
+    c = d.join(ends if "user_id" in by else F.broadcast(ends), by).groupBy(*by, "genuine", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     n = lambda *k: F.sum("c").over(Window.partitionBy(*by, *k))
     return c.withColumn("t", F.col("c") / n() * F.log(F.col("c") * n() / (n("genuine") * n("bin")))).groupBy(*by).agg(F.sum("t").alias("information"))
 
