@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..model import EPS
+from ..model import EPS, finite
 from .describe import correlation
 
 CELL = ["user_id", "feature"]
@@ -61,19 +61,64 @@ def duplicate_features(long: DataFrame, keys: list[str]) -> DataFrame:
     return marks.select("feature", first.alias("same_as"), (F.col("feature") == first).alias("kept"))
 
 
+def value_ranks(long: DataFrame, parts: int = 64) -> tuple[DataFrame, dict[str, int]]:
+    """(feature, value, c, below, r) of each distinct value: its rows, the feature's rows below it and their average rank;
+    and the rows of each feature.
+
+    Counts come first; a feature's values are dealt into ranges, so that no task takes a whole feature.
+    """
+    c = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    points = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    found = c.groupBy("feature").agg(F.sum("c").alias("n"), F.percentile_approx("value", points, F.lit(1000)).alias("cuts")).collect()  # a row a feature
+    # Taken to the driver and back, since the ranges must be the same wherever they are used.
+    cuts = long.sparkSession.createDataFrame([(r.feature, r.cuts) for r in found], "feature string, cuts array<double>")
+    b = c.join(F.broadcast(cuts), "feature").select("feature", "value", "c", F.size(F.filter("cuts", lambda q: q < F.col("value"))).alias("range"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    t = b.groupBy("feature", "range").agg(F.sum("c").alias("t")).select("feature", "range", F.coalesce(F.sum("t").over(earlier("feature").orderBy("range")), F.lit(0)).alias("base"))
+    below = F.col("base") + F.coalesce(F.sum("c").over(earlier("feature", "range").orderBy("value")), F.lit(0))
+    out = b.join(F.broadcast(t), ["feature", "range"]).withColumn("below", below)
+    return out.select("feature", "value", "c", "below", (F.col("below") + (F.col("c") + 1) / 2.0).alias("r")), {r.feature: r.n for r in found}
+
+
+def with_ranks(long: DataFrame, common: int = 20_000) -> DataFrame:
+    """Rows with a value, the value replaced by its average rank within the feature. Values with over a `common`-th of the
+    rows are fewer than `common` and broadcast, so that none of them fills a task; the others meet their rank in a shuffle."""
+    d = long.where(F.col("value").isNotNull())
+    ranks, n = value_ranks(d)
+    often = F.col("c") > sum(n.values()) // common
+    h = d.join(F.broadcast(ranks.where(often).select("feature", "value", "r")), ["feature", "value"], "left")
+    rare = h.where(F.col("r").isNull()).drop("r").join(ranks.where(~often).select("feature", "value", "r"), ["feature", "value"])
+    return h.where(F.col("r").isNotNull()).unionByName(rare).drop("value").withColumnRenamed("r", "value")
+
+
+def feature_medians(long: DataFrame) -> dict[str, float]:
+    """Exact median of each feature, from its counted values."""
+    ranks, n = value_ranks(long)
+    last = F.create_map(*(F.lit(x) for f, k in n.items() for x in (f, k - 1))) if n else F.create_map()
+    end = F.col("below") + F.col("c")
+    m = ranks.withColumn("last", last[F.col("feature")]).groupBy("feature").agg(*(F.min(F.when(end > f(F.col("last") * 0.5), F.col("value"))).alias(k) for k, f in (("a", F.floor), ("b", F.ceil))))
+    return {r.feature: r.a if r.a == r.b else 0.5 * r.a + 0.5 * r.b for r in m.collect()}  # a row a feature
+
+
 def feature_correlations(long: DataFrame, keys: list[str], per_user: bool, ranks: bool = False) -> DataFrame:
     """(user_id?, f1, f2, corr) of pairs f1 < f2 over rows where both have values; ranks: Spearman."""
-    d = long.where(F.col("value").isNotNull())
-    if ranks:
-        w = Window.partitionBy("feature")
-        r = F.rank().over(w.orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy("feature", "value")) - 1) / 2.0
-        d = d.withColumn("value", r)
+    d = with_ranks(long) if ranks else long.where(F.col("value").isNotNull())
     # One array of the features of each row; pairs are formed within the row, so there is no self-join of the table.
-    rows = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
-    pair = rows.select(*keys, F.explode("x").alias("a"), "x").select(*keys, "a", F.explode(F.filter("x", lambda b: b["feature"] > F.col("a.feature"))).alias("b"))
-    by = (["user_id"] if per_user else []) + ["f1", "f2"]
-    return pair.select(*keys, F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2"), F.col("a.value").alias("v1"), F.col("b.value").alias("v2")).groupBy(*by).agg(
-        correlation(F.col("v1"), F.col("v2")).alias("corr"), F.count(F.lit(1)).alias("n"))
+    rows = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("x"))
+    return _pair_correlations(rows, per_user)
+
+
+def row_correlations(wide: DataFrame, features: list[str], per_user: bool) -> DataFrame:
+    """The same for rows that hold all features: nothing is regrouped."""
+    cells = F.array(*(F.struct(F.lit(f).alias("feature"), finite(F.col(f).cast("double")).alias("value")) for f in sorted(features)))
+    return _pair_correlations(wide.select("user_id", F.filter(cells, lambda c: c["value"].isNotNull()).alias("x")), per_user)
+
+
+def _pair_correlations(rows: DataFrame, per_user: bool) -> DataFrame:
+    """Correlations over rows with an array x of (feature, value), in the order of features."""
+    user = ["user_id"] if per_user else []
+    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a["feature"].alias("f1"), b["feature"].alias("f2"), a["value"].alias("v1"), b["value"].alias("v2")))))
+    return rows.select(*user, F.inline(pairs)).groupBy(*user, "f1", "f2").agg(correlation(F.col("v1"), F.col("v2")).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def correlated_drops(correlations: DataFrame, variances: DataFrame, limit: float = 0.95) -> DataFrame:
@@ -129,15 +174,23 @@ def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def phase_one(long: DataFrame, keys: list[str], missing: float = 0.6, limit: float = 0.95) -> DataFrame:
-    """Per feature why it goes (duplicate, missing, variance, correlated) or NULL if it stays; each rule sees survivors."""
-    dup = duplicate_features(long, keys).where("not kept").select("feature", F.lit("duplicate").alias("reason"))
-    left = long.join(dup.select("feature"), "feature", "left_anti")
-    miss = left.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("double")).alias("m")).where(F.col("m") > missing).select("feature", F.lit("missing").alias("reason"))
-    left = left.join(miss.select("feature"), "feature", "left_anti")
-    fill = left.groupBy("feature").agg(F.median("value").alias("fill"))
-    full = left.join(fill, "feature").withColumn("value", F.coalesce("value", "fill")).drop("fill")
-    low = low_variance(full).where("drop").select("feature", F.lit("variance").alias("reason"))
-    left = full.join(low.select("feature"), "feature", "left_anti")
-    pairs = feature_correlations(left, keys, False, ranks=True)
-    gone = correlated_drops(pairs, left.groupBy("feature").agg(F.var_samp("value").alias("variance")), limit).select("feature", F.lit("correlated").alias("reason"))
-    return long.select("feature").distinct().join(dup.unionByName(miss).unionByName(low).unionByName(gone), "feature", "left")
+    """Per feature why it goes (duplicate, missing, variance, correlated) or NULL if it stays; each rule sees survivors.
+
+    What a rule leaves to the next is a row a feature and goes through the driver, so no step deals all rows by feature.
+    """
+    spark, gaps = long.sparkSession, F.avg(F.col("value").isNull().cast("double"))
+    found = duplicate_features(long, keys).join(F.broadcast(long.groupBy("feature").agg(gaps.alias("m"))), "feature").collect()
+    reason = {r.feature: None if r.kept and r.m <= missing else "missing" if r.kept else "duplicate" for r in found}
+    left = long.where(F.col("feature").isin([f for f, why in reason.items() if not why]))
+    open_ = [r.feature for r in found if not reason[r.feature] and r.m > 0]
+    if open_:
+        fill = feature_medians(left.where(F.col("feature").isin(open_)))
+        left = left.withColumn("value", F.coalesce("value", F.create_map(*(F.lit(x) for f, v in fill.items() for x in (f, v)))[F.col("feature")]))
+    spread = {r.feature: (r.variance, r.drop) for r in low_variance(left).collect()}
+    reason |= {f: "variance" for f, (_, low) in spread.items() if low}
+    kept = [(f, v) for f, (v, low) in spread.items() if not low]
+    if len(kept) > 1:
+        pairs = feature_correlations(left.where(F.col("feature").isin([f for f, _ in kept])), keys, False, ranks=True)
+        pairs = spark.createDataFrame([tuple(r) for r in pairs.select("f1", "f2", "corr").collect()], "f1 string, f2 string, corr double")  # a row a pair
+        reason |= {r.feature: "correlated" for r in correlated_drops(pairs, spark.createDataFrame(kept, "feature string, variance double"), limit).collect()}
+    return spark.createDataFrame(sorted(reason.items()), "feature string, reason string")

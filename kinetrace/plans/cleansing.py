@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import SESSIONS_SQL, features, sessions, table
+from ..model import FEATURES, SESSIONS_SQL, features, sessions, table
 from ..operators import cleanse as C
 from ..operators.describe import rounded
 from ..registry import query
@@ -55,7 +55,7 @@ def phase_one_cleanse(spark, sf_dir):
 @query("J13 A23", f"""WITH {SESSIONS_SQL}, p AS (SELECT a.user_id, a.feature AS f1, b.feature AS f2, abs(corr(a.value, b.value)) AS c FROM feat a JOIN feat b ON a.user_id = b.user_id AND a.pos = b.pos AND a.split = b.split AND a.feature < b.feature AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3)
 SELECT f1, f2, round(sum(coalesce(c, 0)) / count(*), 6) AS avg_abs_corr, count(*) AS users FROM p GROUP BY 1, 2""")
 def mean_feature_correlation(spark, sf_dir):
-    c = C.feature_correlations(features(spark, sf_dir), KEYS, True)
+    c = C.row_correlations(sessions(spark, sf_dir), list(FEATURES), True)
     return rounded(c.groupBy("f1", "f2").agg((F.sum(F.coalesce(F.abs("corr"), F.lit(0.0))) / F.count(F.lit(1))).alias("avg_abs_corr"), F.count(F.lit(1)).alias("users")))
 
 
