@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import SERIES_SQL, SESSIONS_SQL, features, series
+from ..model import FEATURES, SERIES_SQL, SESSIONS_SQL, features, series, sessions
 from ..operators import cleanse as C
 from ..operators import relevance as R
 from ..operators.describe import rounded
@@ -117,7 +117,7 @@ def mrmr_selection(spark, sf_dir):
     """Both matrices have a row for each feature or pair of features, however many sessions there are."""
     long = features(spark, sf_dir)
     rel = {r.feature: r.median_auc for r in R.auc_details(R.feature_auc(long)).collect()}
-    c = C.feature_correlations(long, ["user_id", "split", "pos", "genuine"], True).groupBy("f1", "f2").agg(F.avg(F.abs("corr")).alias("c"))
+    c = C.row_correlations(sessions(spark, sf_dir), list(FEATURES), True).groupBy("f1", "f2").agg(F.avg(F.abs("corr")).alias("c"))
     red = {(r.f1, r.f2): r.c or 0.0 for r in c.collect()}
     return spark.createDataFrame([(i + 1, f, round(s, 6)) for i, (f, s) in enumerate(R.mrmr(rel, red, 40))], "rank long, feature string, mrmr_score double")
 
