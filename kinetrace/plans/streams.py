@@ -38,6 +38,6 @@ def session_windows(spark, sf_dir):
 
 @query("M1 M2")
 def stored_model_scores(spark, sf_dir):
-    """Every session scored by its user's stored model, without Python on the rows."""
+    """Every session scored by its user's stored model."""
     rows = sessions(spark, sf_dir)
     return S.model_scores(rows.select("user_id", "pos", "genuine", *NAMES), G.model_table(rows, NAMES), NAMES).select("user_id", "pos", "genuine", "score", "accepted")

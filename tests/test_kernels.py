@@ -132,3 +132,89 @@ def test_importance_and_bootstrap_take_all_rows(spark):
     v = rng.exponential(size=40)
     r = G.distribution_kernels(spark.createDataFrame(pd.DataFrame({"k": 1, "pos": range(40), "value": v})), ["k"]).first()
     assert np.allclose((r.median_low, r.median_high), K.bootstrap_median(v, 1000))
+
+
+def test_neighbour_information_needs_no_matrix_of_all_pairs():
+    rng = np.random.default_rng(9)
+    x, y = np.round(rng.normal(size=90), 1), (rng.random(90) < 0.6).astype(int)
+    total = 0.0
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        d = np.abs(x[own][:, None] - x[None])
+        radius = np.nextafter(np.sort(d[:, own], axis=1)[:, 3], 0)
+        total += (T.digamma(np.array([3.0]))[0] - T.digamma(np.array([float(len(own))]))[0]) * len(own) - T.digamma((d <= radius[:, None]).sum(1).astype(float)).sum()
+    assert K.knn_information(x, y) == pytest.approx(max(0.0, T.digamma(np.array([90.0]))[0] + total / 90))
+    import tracemalloc
+
+    x = rng.normal(size=6000)
+    tracemalloc.start()
+    K.knn_information(x, (x > 0).astype(int))
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # a matrix of a class against all takes 144 MB
+    tracemalloc.stop()
+
+
+def test_neighbours_with_ties_and_relief():
+    rng = np.random.default_rng(10)
+    d = rng.integers(0, 5, (40, 30)).astype(float)
+    want = np.zeros(d.shape, dtype=bool)
+    np.put_along_axis(want, np.argsort(d, axis=1, kind="stable")[:, :7], True, axis=1)
+    assert (K.nearest_marks(d, 7) == want).all()
+    x, y = rng.integers(0, 4, (50, 2)).astype(float), rng.integers(0, 2, 50)
+    z, out = x / 3, np.zeros(2)
+    far = np.abs(z[:, None] - z[None]).sum(2)
+    for i in range(50):
+        for same, sign in ((True, -1), (False, 1)):
+            own = [j for j in np.flatnonzero((y == y[i]) == same) if j != i]
+            near = sorted(own, key=lambda j: (far[i, j], j))[:10]
+            out += sign * np.abs(z[near] - z[i]).mean(0) / 50
+    assert np.allclose(K.relief(x, y), out)
+
+
+def test_permutations_do_not_score_anew(monkeypatch):
+    x = np.random.default_rng(11).normal(size=(60, 3))
+    y = (np.arange(60) % 3 > 0).astype(int)
+    model, calls = K.OneClass(0.2).fit(x[y == 1]), []
+    rng, base, want = np.random.default_rng(42), K.array_auc(model.decision(x), y), np.zeros(3)
+    for f in range(3):
+        for _ in range(5):
+            z = x.copy()
+            z[:, f] = rng.permutation(z[:, f])
+            want[f] += (base - K.array_auc(model.decision(z), y)) / 5
+    decision = K.OneClass.decision
+    monkeypatch.setattr(K.OneClass, "decision", lambda self, v: calls.append(1) or decision(self, v))
+    assert np.allclose(K.permutation_importance(model, x, y, 5), want) and len(calls) == 1
+
+
+def test_isolation_trees_draw_once_a_tree(monkeypatch):
+    calls, make = [], np.random.default_rng
+
+    class Counted:
+        def __init__(self, seed):
+            self.r = make(seed)
+            self.bit_generator = self.r.bit_generator
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.r, name)
+
+    x = make(12).normal(size=67)
+    want = K.isolation_scores(x)
+    monkeypatch.setattr(np.random, "default_rng", Counted)
+    assert np.array_equal(K.isolation_scores(x), want) and len(calls) <= 3 * 50
+
+
+def test_stored_models_score_a_users_rows_together(spark):
+    from kinetrace.operators import grouped as G
+    from kinetrace.streaming import sessions as S
+
+    import pandas as pd
+
+    rng = np.random.default_rng(13)
+    rows = spark.createDataFrame(pd.DataFrame({"user_id": np.repeat([1, 2, 3], 20), "pos": range(60), "genuine": [1] * 40 + [0] * 20, "a": rng.normal(size=60), "b": rng.normal(size=60)}))
+    out = S.model_scores(rows, G.model_table(rows, ["a", "b"]), ["a", "b"])
+    got = {r.pos: r.score for r in out.collect()}
+    assert sorted(got) == list(range(40)) and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    x = np.array([(r.a, r.b) for r in sorted(rows.where("user_id = 2").collect(), key=lambda r: (r.a, r.b))])
+    at = [r.pos for r in sorted(rows.where("user_id = 2").collect(), key=lambda r: (r.a, r.b))]
+    fit = K.scaled(x)[0]
+    assert np.allclose([got[p] for p in at], K.OneClass(0.2).fit(fit).decision(fit))
