@@ -62,7 +62,13 @@ def rolling_cv(df: DataFrame, by: list[str], order: str, value: str, size: int =
     """Drift by rolling coefficients of variation: mean of the later half over `factor` times the earlier's, rising."""
     w = _w(by, order)
     r = w.rowsBetween(1 - size, 0)
-    d = df.where(F.col(value).isNotNull()).withColumn("cv", F.when((F.count(value).over(r) == size) & (F.abs(F.avg(value).over(r)) > MEAN_FLOOR), F.stddev_samp(value).over(r) / F.abs(F.avg(value).over(r))))
+    # A rise is a comparison of neighbours that are often equal but for rounding, so squares are summed as the SQL's engine does.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+    mean = lambda s, x: s["m"] + (x - s["m"]) / (s["n"] + 1)
+    add = lambda s, x: F.struct((s["n"] + 1).alias("n"), mean(s, x).alias("m"), (s["q"] + (x - mean(s, x)) * (x - s["m"])).alias("q"))
+    std = F.aggregate(F.col("part"), start, add, lambda s: F.sqrt(s["q"] / F.lit(size - 1)))
+    d = df.where(F.col(value).isNotNull()).withColumns({"part": F.collect_list(F.col(value).cast("double")).over(r), "avg": F.avg(value).over(r)})
+    d = d.withColumn("cv", F.when((F.size("part") == size) & (F.abs("avg") > MEAN_FLOOR), std / F.abs("avg"))).drop("part", "avg")
     d = d.where(F.col("cv").isNotNull()).withColumns({"k": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy(*by)), "up": F.col("cv") - F.lag("cv").over(w)})
     half = F.floor(F.col("n") / 2)
     out = d.groupBy(*by).agg(

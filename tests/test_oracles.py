@@ -43,3 +43,14 @@ SLOW = {"forest_leave_user_out", "boosted_trees", "shadow_selection", "sparse_st
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+def test_rolling_rises_of_repeated_values(spark, tmp_path):
+    """Windows that hold the same values in another order differ by rounding only; the SQL counts such a rise or not."""
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(i) AS ts, i % 40 AS user_id, 'view' AS event_type, (hash(i * 7919) % 7) / 100.0 + 0.01 AS value, '{{}}' AS props FROM range(8000) t(i)) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = dict(con.sql(f"SELECT user_id, rises FROM ({ORACLES['rolling_cv_drift']})").fetchall())
+    assert {r.user_id: r.rises for r in QUERIES["rolling_cv_drift"](spark, str(tmp_path)).collect()} == want
