@@ -241,3 +241,54 @@ def test_ranks_over_a_feature_need_no_window_over_all_its_rows(spark):
     # Windows run within ranges of a feature or over a row for each range, never over a feature's rows.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("range" in line for line in plan.splitlines() if "Window [" in line)
+
+
+@pytest.fixture
+def coarse(spark):
+    """Rows of three features with few values, so that bins are the values themselves."""
+    return spark.range(3000).select((F.col("id") % 12).alias("user_id"), F.col("id").alias("pos"), (F.xxhash64("id") % 7).cast("double").alias("a"), (F.xxhash64("id", F.lit(1)) % 5).cast("double").alias("b"), (F.xxhash64("id", F.lit(2)) % 9).cast("double").alias("c")).withColumn(
+        "genuine", (F.col("a") * 2 + F.col("b") + (F.xxhash64("pos", F.lit(3)) % 9) > 3).cast("int"))
+
+
+def test_trees_on_counted_cells_are_those_of_the_rows(spark, coarse, monkeypatch):
+    from kinetrace.operators import learned as L
+
+    names = ["a", "b", "c"]
+    by = lambda df: {r.feature: r.importance for r in df.collect()}
+    cells = by(L.boosted_importance(coarse, names, 6)), by(L.forest_importance(coarse, names, 60))
+    monkeypatch.setattr(L, "CELLS", -1)
+    rows = by(L.boosted_importance(coarse, names, 6)), by(L.forest_importance(coarse, names, 60))
+    assert cells[0] == pytest.approx(rows[0], abs=1e-6)
+    assert cells[1] == pytest.approx(rows[1], abs=0.04)
+
+
+def test_l1_steps_reach_the_fit_of_the_library(spark, coarse):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+
+    from kinetrace.functions import kernels as K
+    from kinetrace.operators import learned as L
+
+    names, rows = ["a", "b", "c"], coarse.toPandas()
+    x, y = rows[names].to_numpy(), rows["genuine"].to_numpy().astype(float)
+    fit = LogisticRegression(featuresCol="x", labelCol="genuine", elasticNetParam=1.0, regParam=0.05, maxIter=200, tol=1e-10).fit(L.assembled(coarse, names))
+    z, beta = np.c_[x, np.ones(len(x))], np.zeros(4)
+    penalty = 0.05 * len(x) * np.r_[x.std(0, ddof=1), 0.0]
+    for _ in range(20):
+        g, h = K.newton_sums(z, y, np.ones((len(x), 1)), beta[None])
+        beta = K.sparse_step(beta, g[0], h[0], penalty)
+    assert beta[:3] == pytest.approx(list(fit.coefficients), abs=1e-4) and beta[3] == pytest.approx(fit.intercept, abs=1e-4)
+    draws = np.array([K.poisson_draws(np.arange(20_000, dtype=np.uint64), s) for s in range(5)])
+    assert abs(draws.mean() - 1) < 0.02 and abs(draws.var() - 1) < 0.03 and abs(np.corrcoef(draws)[0, 1]) < 0.03
+
+
+def test_learned_rankings_take_few_jobs(spark, coarse):
+    """Jobs must not grow with trees, rounds and folds: a forest for each fold took hundreds."""
+    from kinetrace.operators import learned as L
+
+    names = ["a", "b", "c"]
+    for i, f in enumerate((lambda: L.leave_user_out(coarse, names, 10, L.Forests(30)), lambda: L.boosted_importance(coarse, names, 40), lambda: L.shadow_selection(coarse, names, 12), lambda: L.sparse_stability(coarse, names, 20))):
+        spark.sparkContext.setJobGroup(f"learned{i}", "")
+        assert f().count() == 3
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"learned{i}")) < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
